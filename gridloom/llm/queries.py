@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash, substrings
+from . import bpe, decontaminate, simhash, substrings, warc
 
-_MODULES = (bpe, simhash, decontaminate, substrings)
+_MODULES = (bpe, simhash, decontaminate, warc, substrings)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
