@@ -121,17 +121,27 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def split_hot_groups(rows: DataFrame, key: str, identity: str, chunk: int) -> DataFrame:
-    """Deal each group out as chunk pairs: rows get ``task`` (long) such that any two rows of a group share a task.
+    """Deal each group out as chunk pairs: rows get ``task`` (long), ``part`` (their chunk) and ``cross``.
 
-    A group of s rows becomes about (s / chunk)^2 / 2 tasks of at most about 2 * chunk rows, so no task holds a whole
-    hot group. Sizes come from a count with map-side aggregation; only keys above ``chunk`` are joined back.
+    Two rows of one chunk meet in the chunk's own task (``cross`` false), two rows of different chunks in the task of
+    that pair of chunks (``cross`` true), each exactly once. A group of s rows becomes about (s / chunk)^2 / 2 tasks of
+    at most about 2 * chunk rows, so no task holds a whole hot group. Sizes come from a count with map-side
+    aggregation; only keys above ``chunk`` are joined back.
     """
     hot = rows.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > chunk)
     dealt = rows.join(hot, key, "left").withColumn("_n", F.coalesce(F.ceil(F.col("_size") / chunk), F.lit(1)).cast("int"))
-    dealt = dealt.withColumn("_c", F.pmod(F.hash(F.col(identity), F.lit(7)), F.col("_n")))
+    dealt = dealt.withColumn("part", F.pmod(F.hash(F.col(identity), F.lit(7)), F.col("_n")))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    dealt = dealt.withColumn("task", F.xxhash64(key, F.least("_c", "_o"), F.greatest("_c", "_o")))
-    return dealt.drop("_size", "_n", "_c", "_o")
+    dealt = dealt.withColumn("task", F.xxhash64(key, F.least("part", "_o"), F.greatest("part", "_o")))
+    return dealt.withColumn("cross", F.col("part") != F.col("_o")).drop("_size", "_n", "_o")
+
+
+def task_pairs(keys: np.ndarray, part: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that each task of ``split_hot_groups`` answers for."""
+    for i, j in pairs_in_groups(keys):
+        mine = ~cross[i] | (part[i] != part[j])
+        if mine.any():
+            yield i[mine], j[mine]
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, forest, pairs_in_groups, partitions, split_hot_groups, table, whole_groups
+from .common import Scratch, connected_components, forest, partitions, split_hot_groups, table, task_pairs, whole_groups
 
 SEED = 42
 #: Random reference fingerprints of the filter; the block pivots come on top.
@@ -82,7 +82,7 @@ def near_links(scratch: Scratch, nodes: DataFrame, distance: int = 3, chunk: int
     masks = [signed(m) for m in signature_masks(distance, rows)]
     keyed = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("block", "bits"))
     keyed = keyed.select("fp", F.xxhash64("block", "bits").alias("key"))
-    tasks = split_hot_groups(keyed, "key", "fp", chunk).select("task", "fp")
+    tasks = split_hot_groups(keyed, "key", "fp", chunk).select("task", "fp", "part", "cross")
     pivots = random_pivots()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def near_links(scratch: Scratch, nodes: DataFrame, distance: int = 3, chunk: int
             keys, fps = group.column("task").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
             far = pivot_table(fps, pivots)
             left, right, held = [], [], 0
-            for i, j in pairs_in_groups(keys):
+            for i, j in task_pairs(keys, group.column("part").to_numpy(), group.column("cross").to_numpy()):
                 near = np.ones(len(i), bool)
                 for k in range(0, RANDOM_PIVOTS, 4):  # the triangle inequality: no coordinate may differ by more
                     near &= (np.abs(far[i, k : k + 4] - far[j, k : k + 4]) <= distance).all(1)

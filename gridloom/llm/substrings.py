@@ -8,6 +8,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -128,7 +129,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "bucket", 1):
             for b in np.unique(group.column("bucket").to_numpy()):
-                mine = group.filter(pa.compute.equal(group.column("bucket"), int(b)))
+                mine = group.filter(pc.equal(group.column("bucket"), int(b)))
                 raw = mine.column("hashes").to_pylist()
                 sizes = [len(x) // 8 for x in raw]
                 joined = np.frombuffer(b"".join(raw), np.uint64)
