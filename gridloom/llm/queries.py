@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash, substrings, warc
+from . import bpe, decontaminate, embeddings, html_text, simhash, substrings, toxicity, warc
 
-_MODULES = (bpe, simhash, decontaminate, warc, substrings)
+_MODULES = (embeddings, bpe, simhash, decontaminate, warc, toxicity, html_text, substrings)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
