@@ -200,9 +200,9 @@ class Model:
         return g
 
 
-def fit(texts: list[list[bytes]], labels: list[int], rounds: int = 4, batch: int = 128) -> Model:
+def fit(texts: list[list[bytes]], labels: list[int], rounds: int = 4, batch: int = 128, least_steps: int = 200) -> Model:
     """Fit on whole labelled texts. A text's label speaks for its most toxic window only, so each round trains on the
-    windows that score highest so far, clean texts' too, and on as many drawn at random."""
+    windows that score highest so far, clean texts' too, and on some drawn at random; few texts get more rounds, to ``least_steps`` in all."""
     rng = np.random.default_rng(SEED)
     pairs = [(t, y) for t, y in zip(texts, labels, strict=True) if t]
     texts, target = [t for t, _ in pairs], np.array([y for _, y in pairs], np.float32)
@@ -218,7 +218,9 @@ def fit(texts: list[list[bytes]], labels: list[int], rounds: int = 4, batch: int
     place.default_factory = place.__len__
     ids = [np.fromiter(map(place.__getitem__, words), np.int32, len(words)) for words in texts]
     step = 0
-    for turn in range(rounds):
+    turn = 0
+    while turn < rounds or step < least_steps:
+        last = turn >= rounds - 1 and step >= least_steps * 3 // 4
         chosen = [(k, int(rng.integers(len(s)))) for k, s in enumerate(starts) for _ in range(2 if turn == 0 else 1) if turn == 0 or target[k] == 0]
         if turn:
             ranked = model.logits(model.gates(model.inputs(list(place))), ids)
@@ -232,7 +234,8 @@ def fit(texts: list[list[bytes]], labels: list[int], rounds: int = 4, batch: int
                 one, two = moment[name]
                 one += 0.1 * (grad - one)
                 two += 0.01 * (grad**2 - two)
-                model.p[name] -= (0.01 if turn < rounds - 1 else 0.003) * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-6)
+                model.p[name] -= (0.003 if last else 0.01) * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-6)
+        turn += 1
     best = np.array([x.max() for x in model.logits(model.gates(model.inputs(list(place))), ids)], np.float64)
     scale, shift = 1.0, 0.0
     for _ in range(25):  # logistic calibration on the texts' highest logits, ridge towards a slope of 1
