@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,7 +55,7 @@ class Scratch:
     def keep(self, frame: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def free(self, frame: DataFrame) -> None:
@@ -62,10 +64,10 @@ class Scratch:
 
     def release_shuffles(self) -> None:
         """Let Spark delete shuffle files of finished steps now rather than at the driver's next collection."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first collection enqueues what the cleaner then drops
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 4096) -> Iterator[pa.Table]:
