@@ -1,0 +1 @@
+"""Annotation, experiment and corpus analytics on Spark DataFrames."""

@@ -1,10 +1,9 @@
-"""All queries by name, with the SQL that gives the same rows where there is one."""
+"""All queries of the engine by name, with the SQL that gives the same rows where there is one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
