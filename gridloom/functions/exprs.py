@@ -138,7 +138,7 @@ def json_string(value: Text) -> Column:
 
 
 def run_id(condition: Text, model: Text, seed: Text, digest: Text) -> Column:
-    return F.concat_ws("__", _c(condition), stem(model), F.concat(F.lit("s"), _c(seed).cast("string")), F.substring(_c(digest), 1, 10))
+    return F.concat_ws("__", _c(condition), _c(model), F.concat(F.lit("s"), _c(seed).cast("string")), F.substring(_c(digest), 1, 10))
 
 
 def overlay(defaults: Text, own: Text) -> Column:

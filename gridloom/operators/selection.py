@@ -58,12 +58,13 @@ def ap_by_iou(classes: DataFrame, keys: list[str], ap: str) -> DataFrame:
     return spread.groupBy(*keys, F.format_string("%.2f", 0.5 + F.col("k") * 0.05).alias("iou")).agg(F.avg("ap").alias("ap"))
 
 
-def best_confidence(curves: DataFrame, keys: list[str], curve: str) -> DataFrame:
-    """First maximum of the class-mean F1 curve: its value and the confidence it stands for (index over length - 1)."""
-    spread = curves.select(*keys, F.size(curve).alias("n"), F.posexplode(curve).alias("k", "f1"))
-    mean = spread.groupBy(*keys, "k").agg(F.avg("f1").alias("f1"), F.max("n").alias("n"))
-    best = mean.groupBy(*keys).agg(F.min_by(F.struct("f1", "k", "n"), F.struct((-F.col("f1")).alias("f"), F.col("k"))).alias("b"))
-    return best.select(*keys, F.col("b.f1").alias("best_f1"), (F.col("b.k") / F.greatest(F.col("b.n") - 1, F.lit(1))).alias("best_f1_confidence"))
+def best_confidence(curves: DataFrame, keys: list[str], curve: str, confidences: str) -> DataFrame:
+    """First maximum of the class-mean F1 curve and the confidence at its place; curves of another length than
+    ``confidences`` give no row."""
+    spread = curves.where((F.size(curve) == F.size(confidences)) & (F.size(curve) > 0)).select(*keys, F.posexplode(F.arrays_zip(F.col(curve).alias("f1"), F.col(confidences).alias("px"))).alias("k", "v"))
+    mean = spread.groupBy(*keys, "k").agg(F.avg("v.f1").alias("f1"), F.first("v.px").alias("px"))
+    best = mean.groupBy(*keys).agg(F.min_by(F.struct("f1", "px"), F.struct((-F.col("f1")).alias("f"), F.col("k"))).alias("b"))
+    return best.select(*keys, F.bround("b.f1", 6).alias("best_f1"), F.bround("b.px", 6).alias("best_f1_confidence"))
 
 
 def expand_grid(parts: list[DataFrame]) -> DataFrame:

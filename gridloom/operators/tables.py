@@ -34,8 +34,8 @@ def ordered_hash(rows: DataFrame, keys: list[str], order: list[str], text: list[
 
 def manifest_fingerprint(rows: DataFrame, keys: list[str], identity: str, digest: str) -> DataFrame:
     """An order-free fingerprint for manifests of any size: digests are hashed by id range, then the ranges in order."""
-    part = rows.groupBy(*keys, F.substring(F.sha2(F.col(identity).cast("string"), 256), 1, 3).alias("_p")).agg(F.array_sort(F.collect_list(F.struct(F.col(identity).cast("string"), digest))).alias("_l"))
-    part = part.withColumn("_h", F.sha2(F.array_join(F.transform("_l", lambda x: F.concat_ws("=", x[identity], x[digest])), "\n"), 256))
+    part = rows.groupBy(*keys, F.substring(F.sha2(F.col(identity).cast("string"), 256), 1, 3).alias("_p")).agg(F.array_sort(F.collect_list(F.struct(F.col(identity).cast("string").alias("i"), F.col(digest).alias("d")))).alias("_l"))
+    part = part.withColumn("_h", F.sha2(F.array_join(F.transform("_l", lambda x: F.concat_ws("=", x["i"], x["d"])), "\n"), 256))
     return part.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), "\n"), 256).alias("fingerprint"))
 
 

@@ -197,7 +197,7 @@ def q_grid_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = _t(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(".pt")).alias("model")).distinct()
     grid = selection.expand_grid([conditions, models, spark.createDataFrame([(41,), (42,)], "seed int")])
     canonical = F.concat(F.lit('{"condition":'), X.json_string("condition"), F.lit(',"model":'), X.json_string("model"), F.lit("}"))
-    return grid.select("condition", "model", "seed", X.stable_hash(canonical).alias("candidate_id"), X.run_id("condition", "model", "seed", F.sha2(canonical, 256)).alias("run_id"))
+    return grid.select("condition", "model", "seed", X.stable_hash(canonical).alias("candidate_id"), X.run_id("condition", X.stem("model"), "seed", F.sha2(canonical, 256)).alias("run_id"))
 
 
 SQL_GRID = """
