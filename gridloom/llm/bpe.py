@@ -264,4 +264,3 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_byte_bpe": op2_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}

@@ -152,4 +152,3 @@ def op1_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_embedding_groups": op1_embedding_groups}
-ORACLE_SQL: dict[str, str] = {}

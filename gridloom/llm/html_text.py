@@ -156,4 +156,3 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_html_text": op9_html_text}
-ORACLE_SQL: dict[str, str] = {}

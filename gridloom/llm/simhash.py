@@ -136,4 +136,3 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_simhash": op4_simhash}
-ORACLE_SQL: dict[str, str] = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -185,8 +184,3 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_substrings": op10_substrings}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def digest_of(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()

@@ -91,4 +91,3 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_token_counts": op7_token_counts}
-ORACLE_SQL: dict[str, str] = {}

@@ -297,5 +297,3 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_toxicity": op8_toxicity}
-ORACLE_SQL: dict[str, str] = {}
-
