@@ -124,10 +124,14 @@ def write_archives(pages: DataFrame, target: str, min_revisit_bytes: int = 0, ro
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "temporary", "shard", "records", "bytes", "sha256"])
 
-    written = dealt.mapInArrow(write, MANIFEST).orderBy("file").collect()  # a row for each 64 MB
+    # A row for each 64 MB; sorted here, as a sort in Spark would sample, and so write, the files once more.
+    written = sorted(dealt.mapInArrow(write, MANIFEST).collect(), key=lambda r: r.file)
     store, place = fs.FileSystem.from_uri(root)
     for row in written:
         store.move(f"{place}/{row.temporary}", f"{place}/{row.file}")
+    for left in store.get_file_info(fs.FileSelector(place)):
+        if left.base_name.startswith(".") and left.base_name.endswith(".tmp"):  # of attempts that were lost
+            store.delete_file(left.path)
     listing = [{"file": r.file, "shard": r.shard, "records": r.records, "bytes": r.bytes, "sha256": r.sha256} for r in written]
     with store.open_output_stream(f"{place}/.manifest.tmp") as out:
         out.write("".join(json.dumps(x, sort_keys=True) + "\n" for x in listing).encode())
@@ -198,4 +202,3 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_warc": op6_warc}
-ORACLE_SQL: dict[str, str] = {}
