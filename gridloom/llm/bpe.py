@@ -6,6 +6,7 @@ import base64
 import gc
 import hashlib
 import heapq
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -15,7 +16,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -259,6 +260,38 @@ def encode_decode(docs: DataFrame, path: str, outputs: list[str], id_col: str =
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} {OUTPUTS[n]}" for n in names)]))
 
 
+def fold_words_native(words: DataFrame, path: str, word_col: str = "word", buckets: int = 1 << 16) -> DataFrame:
+    """The fold as Spark expressions: all columns plus ``ids``, for a table of distinct words.
+
+    The rank map is one literal (JSON folded at planning), an array of hash buckets, since a lookup in a Spark map scans
+    its keys. Each step of an aggregate() over the word's bytes merges the best pair. See the README for its cost, which
+    is why ``encode_decode`` folds in numpy. A null or empty word has no ids.
+    """
+    spark = words.sparkSession
+    ranks = [(piece.hex(), rank) for piece, rank in read_ranks(path).items()]
+    hashed = spark.createDataFrame(ranks, "p string, r int").select("p", "r", F.pmod(F.hash("p"), F.lit(buckets)).alias("b")).collect()
+    table_: list[list[dict]] = [[] for _ in range(buckets)]
+    for row in hashed:  # a vocabulary file's rows
+        table_[row.b].append({"p": row.p, "r": row.r})
+    literal = F.from_json(F.lit(json.dumps(table_, separators=(",", ":"))), F.lit("array<array<struct<p:string,r:int>>>"))
+
+    def rank(piece: Column) -> Column:
+        there = F.get(literal, F.pmod(F.hash(piece), F.lit(buckets)))
+        return F.get(F.filter(there, lambda x: x["p"] == piece), F.lit(0))["r"]
+
+    def merged(parts: Column, _: Column) -> Column:
+        pairs = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.struct(F.coalesce(rank(F.concat(x, F.get(parts, i + 1))), F.lit(1 << 30)).alias("r"), i.alias("i")))
+        best = F.array_min(pairs)
+        done = F.concat(F.slice(parts, F.lit(1), best["i"]), F.array(F.concat(F.get(parts, best["i"]), F.get(parts, best["i"] + 1))), F.slice(parts, best["i"] + 3, F.size(parts)))
+        return F.when(best["r"] < 1 << 30, done).otherwise(parts)
+
+    raw = F.lower(F.hex(F.encode(F.col(word_col), "UTF-8")))
+    size = F.length(raw) / 2
+    bytes_ = F.when(size > 0, F.transform(F.sequence(F.lit(1), size.cast("int")), lambda k: F.substring(raw, k * 2 - 1, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size.cast("int"), F.lit(1))), bytes_, merged)
+    return words.withColumn("ids", F.transform(folded, rank))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), ["n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -125,6 +125,13 @@ def test_folds_agree():
     assert all(tuple(got[w]) == bpe.merge_pieces(w.encode(), r) == (bpe._merge_long(w.encode(), r) if w.encode() not in r else (r[w.encode()],)) for w in words)
 
 
+def test_native_fold(spark):
+    words = ["hello", " thttible", "é", "日本", "a", "", "aaaaaaaa", " antidisestablishmentarianism"]
+    rows = bpe.fold_words_native(spark.createDataFrame([(w,) for w in words], "word string"), PATH).collect()
+    r = ranks()
+    assert [x.ids for x in rows] == [list(bpe.merge_pieces(w.encode(), r)) if w else [] for w in words]
+
+
 # 3
 
 
