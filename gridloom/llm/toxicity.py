@@ -252,13 +252,14 @@ def fit(texts: list[list[bytes]], labels: list[int], rounds: int = 4, batch: int
 def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``fit_rows`` toxic and three times as many clean labelled texts outside the held-out third (crc32 of the id mod 3 = 1).
 
-    Which rows is decided by a hash of the id over all labels; an id with several labels counts as toxic if one says so.
+    Which rows is decided by a hash of the id over all labels; an id with several labels counts as toxic if one says so,
+    and one with several texts is fitted on the least of them.
     """
     marks = labels.where(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     marks = marks.withColumn("h", F.xxhash64(id_col))
     chosen = [marks.where(F.col("y") == y).orderBy("h", id_col).limit(n) for y, n in ((0, 3 * fit_rows), (1, fit_rows))]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 4 * fit_rows ids
-    rows = docs.select(id_col, text_col).join(chosen, id_col).dropDuplicates([id_col]).select("h", text_col, "y").collect()
+    rows = docs.select(id_col, text_col).join(chosen, id_col).groupBy("h", id_col, "y").agg(F.min(text_col)).select("h", f"min({text_col})", "y").collect()
     rows.sort(key=lambda r: r[0])
     return fit([words_of(r[1]) for r in rows], [r.y for r in rows])
 
