@@ -24,6 +24,8 @@ FIT_ROWS = 1200
 THRESHOLD = 0.7
 BATCH_CHARS = 4 << 20
 WINDOWS_AT_ONCE = 2048
+#: Words whose trigrams are held at once; a vocabulary's together are what the driver would need most memory for.
+WORDS_AT_ONCE = 1 << 14
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -71,7 +73,8 @@ class Model:
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """Word and character embeddings of distinct words."""
         known = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
-        return np.concatenate([self.p["word"][known], char_means(words, self.p["char"])[0]], 1)
+        means = [char_means(words[k : k + WORDS_AT_ONCE], self.p["char"])[0] for k in range(0, len(words), WORDS_AT_ONCE)]
+        return np.concatenate([self.p["word"][known], np.concatenate(means)], 1)
 
     def forward(self, gates: np.ndarray, ids: np.ndarray, lengths: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logits of windows of word ids (windows, steps); ``gates`` holds each word's input to both directions' gates."""
