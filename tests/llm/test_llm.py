@@ -161,7 +161,7 @@ def test_lm_restaurants_sum_to_one():
     rng = np.random.default_rng(0)
     n, words = 150, np.concatenate([np.arange(150), rng.zipf(1.5, 5000) % 150])
     fine = rng.integers(0, lm_score.FINE, len(words))
-    counts = lm_score.Counts(n + 1, words * lm_score.FINE + fine, np.ones(len(words)))
+    counts = lm_score.Counts.of(n + 1, words * lm_score.FINE + fine, np.empty(0, np.int64), np.empty(0, np.int64))
     customers = np.bincount(fine, minlength=lm_score.FINE).astype(float)
     tables = np.concatenate([np.bincount(counts.fine, minlength=lm_score.FINE), np.bincount(counts.pairs % lm_score.COARSE, minlength=lm_score.COARSE), [n]]).astype(float)
     for k in range(3):
