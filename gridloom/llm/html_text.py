@@ -106,12 +106,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, between: str = "\n") -> str:
     """Text between the points where the text mass of sliding line blocks surges and dives.
 
     A line weighs its characters outside links; lines of menus, adverts and the like weigh nothing, and where a page
     marks an article, so do lines outside it. A region begins at a block that surges over the threshold (any text,
     inside a marked article), and ends where a block has none left. Without a surge the heaviest region is kept.
+    ``between`` joins the kept blocks.
     """
     lines = page_lines(page or "")
     marked = any(inside and not aside for _, _, inside, aside in lines)
@@ -128,10 +129,10 @@ def main_text(page: str | None) -> str:
             start = None
     surging = [(a, b) for a, b in regions if max(blocks[a:b]) > threshold]
     kept = surging or sorted(regions, key=lambda r: -sum(weight[r[0] : r[1]]))[:1]
-    return "\n".join(lines[i][0] for a, b in kept for i in range(a, min(b, len(lines))) if usable[i] and (marked or weight[i] > 0))
+    return between.join(lines[i][0] for a, b in kept for i in range(a, min(b, len(lines))) if usable[i] and (marked or weight[i] > 0))
 
 
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", between: str = "\n") -> DataFrame:
     """All columns of ``pages`` but the html (a ``text`` and ``n_chars`` are replaced) plus the main ``text`` and its
     ``n_chars`` in code points. Null and empty pages, and pages without article text, give an empty text; every row is
     returned once. There is no shuffle; a page is handled whole by itself.
@@ -143,7 +144,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)
-                texts = [main_text(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+                texts = [main_text(x.as_py(), between) for x in batch.column(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
     kept = base.select(*names)
@@ -152,7 +153,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), between="\n\n")
 
 
 QUERIES = {"op9_html_text": op9_html_text}
