@@ -17,7 +17,7 @@ from .bpe import BATCH_CHARS, VOCABULARY, WORDS_KEPT, Splitter, read_ranks
 from .common import table
 
 #: Scores are whole micro-nats in the high bits; the low bits count tokens, so that equal scores prefer fewer.
-COUNT_BITS = 20
+COUNT_BITS = 40
 #: Zipf-Mandelbrot offset of the rank-derived piece probabilities.
 OFFSET = 2.7
 
