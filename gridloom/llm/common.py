@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -24,9 +23,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local
+    mode; on a cluster each executor would write to its own disk, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
@@ -39,6 +41,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Tasks that write a narrow table at least, as far as there are partitions.
+LEAST_WRITERS = 16
+#: Spark deletes the shuffle files of an execution when it ends; set while a scratch table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor only repeats the step after the last table."""
 
@@ -52,23 +60,29 @@ class Scratch:
         except Exception:  # the session may be gone by then
             pass
 
-    def keep(self, frame: DataFrame) -> DataFrame:
+    def keep(self, frame: DataFrame, narrow: int = 1) -> DataFrame:
+        """Write ``frame`` and read it back. What it shuffled is deleted with the write, not at some later collection.
+
+        ``narrow``: of rows that are a small part of what their step read (links, labels), so many partitions are
+        written by one task; that saves files, and each of them starts processes of its own in local file systems.
+        """
         self.n += 1
         path = f"{self.root}/{self.n}"
-        frame.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            schema = frame.schema
+            n = partitions(self.spark)
+            frame = frame.coalesce(max(min(n, LEAST_WRITERS), n // narrow)) if narrow > 1 else frame
+            frame.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(schema).parquet(path)
 
     def free(self, frame: DataFrame) -> None:
         for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
             drop_path(self.spark, path)
 
-    def release_shuffles(self) -> None:
-        """Let Spark delete shuffle files of finished steps now rather than at the driver's next collection."""
-        for _ in range(2):  # the first collection enqueues what the cleaner then drops
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 4096) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``key`` (long): a group split over batches is held until it ends."""
@@ -146,25 +160,27 @@ def task_pairs(keys: np.ndarray, part: np.ndarray, cross: np.ndarray) -> Iterato
             yield i[mine], j[mine]
 
 
+#: Partitions of a links table that one task writes: a link is two longs, where its documents are whole texts.
+NARROW = 8
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Label nodes of ``edges`` (a, b: long) with the smallest node they reach: (node, root).
 
-    Alternating large-star and small-star steps; all state stays in tables, each round is written to the shared
+    Alternating large-star and small-star steps; all state stays in tables, each round is written once to the shared
     folder, and every aggregate is a minimum with map-side combine, so a hub with many links is no hot task.
     """
-    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), NARROW)
     before = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.keep(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        new = scratch.keep(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        new = scratch.keep(small.union(low.select("a", F.col("m").alias("b"))).distinct(), NARROW)
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        scratch.free(large)
         scratch.free(now)
         now = new
         if mark == before or mark[0] == 0:

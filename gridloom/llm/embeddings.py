@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, forest, partitions, split_hot_groups, table, task_pairs, whole_groups
+from .common import NARROW, Scratch, connected_components, forest, partitions, split_hot_groups, table, task_pairs, whole_groups
 
 SEED = 20_240_501
 THRESHOLD = 0.9
@@ -135,7 +135,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([node[linked], node[a]])), pa.array(np.concatenate([degree[linked], node[b]]))], ["link", "a", "b"])
 
     found = tasks.repartition(partitions(spark), "task").sortWithinPartitions("task").mapInArrow(run, "link boolean, a long, b long")
-    found = scratch.keep(found)
+    found = scratch.keep(found, NARROW)
     degrees = found.where("not link").groupBy("a").agg(F.sum("b").alias("degree"))
     roots = connected_components(scratch, found.where("link").select("a", "b"))
     info = nodes.select("node", "mult", "low").join(roots, "node", "left").join(degrees.withColumnRenamed("a", "node"), "node", "left")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, forest, partitions, split_hot_groups, table, task_pairs, whole_groups
+from .common import NARROW, Scratch, connected_components, forest, partitions, split_hot_groups, table, task_pairs, whole_groups
 
 SEED = 42
 #: Random reference fingerprints of the filter; the block pivots come on top.
@@ -122,15 +122,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, id_col, text_col, width))
     nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    links = scratch.keep(near_links(scratch, nodes.select("fp"), distance))
+    links = scratch.keep(near_links(scratch, nodes.select("fp"), distance), NARROW)
     roots = connected_components(scratch, links)
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    nodes = scratch.keep(nodes)
+    nodes = scratch.keep(nodes, NARROW)
     lows = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
     return fps.join(nodes.join(lows, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of ``documents``: doc_id, fingerprint (16 lowercase hex digits), component_id, by 3-word shingles and at most 3 bits."""
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

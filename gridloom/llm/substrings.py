@@ -114,7 +114,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = base.withColumn("__h", F.xxhash64(text_col))
     order = order.repartitionByRange(buckets, F.col(id_col), F.col("__h")).sortWithinPartitions(id_col, "__h").drop("__h")
     chunks = scratch.keep(_chunks(order, text_col, rows_type))
-    scratch.release_shuffles()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +142,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = chunks.select("at", F.col("rows").getField(text_col).alias("texts")).mapInArrow(send, "bucket long, at long, hashes binary")
     sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "at")
     answers = scratch.keep(sent.mapInArrow(decide, "at long, bucket long, bits binary"))
-    scratch.release_shuffles()
     answers = answers.groupBy("at").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     schema = T.StructType([*rows_type.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("kept", T.StringType())])
     names = base.columns
