@@ -161,7 +161,7 @@ def test_lm_restaurants_sum_to_one():
     rng = np.random.default_rng(0)
     n, words = 150, np.concatenate([np.arange(150), rng.zipf(1.5, 5000) % 150])
     fine = rng.integers(0, lm_score.FINE, len(words))
-    counts = lm_score.Counts.of(n + 1, words * lm_score.FINE + fine, np.empty(0, np.int64), np.empty(0, np.int64))
+    counts = lm_score.Counts(n + 1, *np.unique(words * lm_score.FINE + fine, return_counts=True))
     customers = np.bincount(fine, minlength=lm_score.FINE).astype(float)
     tables = np.concatenate([np.bincount(counts.fine, minlength=lm_score.FINE), np.bincount(counts.pairs % lm_score.COARSE, minlength=lm_score.COARSE), [n]]).astype(float)
     for k in range(3):
@@ -169,10 +169,74 @@ def test_lm_restaurants_sum_to_one():
         tables = counts.totals(got)
         assert (got["fine"] >= 1).all() and (got["fine"] <= counts.count).all()
     for f in (0, 3, 1000):
-        p = counts.predict(got, lm_score._split_totals(tables), customers, n, np.arange(n + 1), np.full(n + 1, f))
+        p = counts.predict(got, lm_score._split_totals(tables), customers, n, counts.places(np.arange(n + 1) * lm_score.FINE + f))
         assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
+def one_by_one(c, mass, discount, rng, sweeps):
+    """Mean tables of c customers of one dish under plain Gibbs: each leaves its table and sits down again, in turn."""
+    at, sizes, seen = list(range(c)), {k: 1 for k in range(c)}, []
+    for sweep in range(sweeps):
+        for k in range(c):
+            sizes[at[k]] -= 1
+            if not sizes[at[k]]:
+                del sizes[at[k]]
+            names = list(sizes)
+            weight = np.array([sizes[t] - discount for t in names] + [mass]).cumsum()
+            pick = int((weight < rng.random() * weight[-1]).sum())
+            at[k] = names[pick] if pick < len(names) else max(sizes, default=0) + 1
+            sizes[at[k]] = sizes.get(at[k], 0) + 1
+        if sweep >= sweeps // 5:
+            seen.append(len(sizes))
+    return np.mean(seen)
+
+
+def exact_mean(c, mass, discount):
+    """The same mean from the weights of all seatings."""
+    ways = np.array([1.0])
+    for n in range(1, c):
+        ways = np.append(ways * (n - discount * np.arange(1, n + 1)), 0) + np.append(0, ways)
+        ways /= ways.max()
+    p = ways * np.float64(mass) ** (np.arange(c) - c)
+    return (p * np.arange(1, c + 1)).sum() / p.sum()
+
+
+@pytest.mark.parametrize(("c", "mass", "discount"), [(2, 0.3, 0.75), (9, 2.0, 0.75), (25, 1.5, 0.5), (64, 0.2, 0.75)])
+def test_lm_seating_is_that_of_one_by_one_gibbs(c, mass, discount):
+    rng = np.random.default_rng(1)
+    drawn = lm_score.seat(np.full(20_000, c), np.full(20_000, mass), discount, rng).mean()
+    assert abs(drawn - exact_mean(c, mass, discount)) < 0.01 * drawn + 0.02
+    assert abs(drawn - one_by_one(c, mass, discount, rng, 1500 if c < 30 else 400)) < 0.05 * drawn + 0.05
+
+
+@pytest.mark.parametrize(("c", "mass", "discount"), [(120, 5.0, 0.75), (150, 0.5, 0.75), (150, 3.0, 0.5), (140, 60.0, 0.75), (160, 20.0, 0.75)])
+def test_lm_seating_of_many_customers(c, mass, discount):
+    drawn = lm_score.seat(np.full(5_000, c), np.full(5_000, mass), discount, np.random.default_rng(2)).mean()
+    assert abs(drawn / exact_mean(c, mass, discount) - 1) < 0.02
+
+
+def test_lm_seating_at_the_limit():
+    """Beyond the tabled sizes the mean is near that of one-by-one Gibbs, here by the limit 1 + mass / discount."""
+    for c, mass in ((200_000, 3.0), (10_000_000, 400.0)):
+        drawn = lm_score.seat(np.full(4_000, c), np.full(4_000, mass), 0.75, np.random.default_rng(3)).mean()
+        assert abs(drawn / (1 + mass / 0.75) - 1) < 0.03
+
+
+def test_lm_scores_do_not_follow_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 500)
+    rows = [(k, prose(k, 60, 50)) for k in range(60)]
+    held, found = F.crc32(F.col("doc_id").cast("string")) % 5 == 1, []
+    for parts in (4, 7):
+        monkeypatch.setattr(lm_score, "partitions", lambda _, parts=parts: parts)
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found.append(sorted((r.id, round(r.score, 6), round(r.perplexity, 6)) for r in lm_score.lm_scores(frame, held).collect()))
+    assert found[0] == found[1] and len(found[0]) == 60
+    scored = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), held).withColumn("held_out", F.crc32(F.col("id").cast("string")) % 5 == 1)
+    for r in lm_score.perplexity(scored).collect():
+        mine = [(x.score, x.n_tokens) for x in scored.where(F.col("held_out") == r.held_out).collect()]
+        assert abs(r.perplexity - 10 ** (-sum(a for a, _ in mine) / sum(b for _, b in mine))) < 1e-6
+
+
 # 4
 
 
@@ -376,16 +440,16 @@ def test_windows_cover_texts():
 def test_html_text(spark):
     article = "<article><h1>T &amp; t</h1><p>One\n two&nbsp;three<p>Short.<div class='ad'>Buy</div><ul><li>item</li></ul></article>"
     page = f"<html><head><title>x</title><style>p{{}}</style></head><body><nav><ul><li>Home</li></ul></nav><script>var a='</p><p>no</p>';</script>{article}<aside>side</aside><div id='comments'><p>reader words</p></div><form><p>ask</p></form><footer>foot</footer></body></html>"
-    assert html_text.main_text(page) == "T & t\nOne two three\nShort.\nitem"
+    assert html_text.main_text(page) == "T & t\n\nOne two three\n\nShort.\n\nitem"
     long = "Plain words in a row that go on and on for a while. " * 3
     bare = f"<body><div class='menu'><a href=x>A</a></div><h2>Head</h2><p>{long}</p><p>tiny</p><div class=sidebar>{long}</div><div><a href=1>{long}</a></div></body>"
-    assert html_text.main_text(bare) == f"Head\n{long.strip()}\ntiny"
+    assert html_text.main_text(bare) == f"Head\n\n{long.strip()}\n\ntiny"
     for odd in (None, "", "<", "<p", "<!-- x", "<script>x", "plain", "a < b > c", "<nav>only</nav>", "<p>cut <b"):
         html_text.main_text(odd)
     assert html_text.main_text(None) == html_text.main_text("<nav>only</nav>") == "" and html_text.main_text("a < b") == "a < b"
     rows = spark.createDataFrame([(1, "u", page, "old"), (1, "u", page, "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(rows)
-    assert got.columns == ["page_id", "url", "text", "n_chars"] and [r.n_chars for r in got.orderBy("page_id").collect()] == [31, 31, 0]
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and [r.n_chars for r in got.orderBy("page_id").collect()] == [34, 34, 0]
     assert html_text.extract(rows.where("false")).count() == 0
 
 
