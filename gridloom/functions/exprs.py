@@ -118,10 +118,12 @@ def colour_ramp(share: Text, channel: int) -> Column:
 
 
 def form_fields(page: Text) -> Column:
-    """Map of name to value of the page's hidden form fields, in attribute order name, value."""
+    """Map of name to value of the page's hidden form fields, in attribute order name, value; of a repeated name the last."""
     pattern = r'name="([^"]+)"\s+value="([^"]*)"'
     names, values = (F.regexp_extract_all(_c(page), F.lit(pattern), F.lit(k)) for k in (1, 2))
-    return F.map_from_arrays(names, values)
+    fields = F.zip_with(names, values, lambda n, v: F.struct(n.alias("key"), v.alias("value")))
+    last = F.filter(fields, lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), x["key"]))  # of a repeated name
+    return F.map_from_entries(last)
 
 
 def stable_hash(canonical: Text, length: int = 12) -> Column:

@@ -16,15 +16,15 @@ def exact_duplicates(rows: DataFrame, content: str | Column, identity: str) -> D
 
 def pair_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on both sides, and those that lack their partner: (both, left_only, right_only)."""
-    a = left.select(key).distinct().withColumn("_a", F.lit(True))
-    b = right.select(key).distinct().withColumn("_b", F.lit(True))
-    both = a.join(b, key, "full_outer")
-    return both.agg(F.count_if(F.col("_a") & F.col("_b")).alias("both"), F.count_if(F.col("_b").isNull()).alias("left_only"), F.count_if(F.col("_a").isNull()).alias("right_only"))
+    sides = left.select(key, F.lit(True).alias("_a"), F.lit(False).alias("_b")).unionByName(right.select(key, F.lit(False).alias("_a"), F.lit(True).alias("_b")))
+    keys = sides.groupBy(key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))  # one shuffle, combined before it
+    known = F.col(key).isNotNull()  # a null has no partner
+    return keys.agg(F.count_if(known & F.col("_a") & F.col("_b")).alias("both"), F.count_if(F.col("_a") & ~(known & F.col("_b"))).alias("left_only"), F.count_if(F.col("_b") & ~(known & F.col("_a"))).alias("right_only"))
 
 
 def leakage(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key also stands on the other side."""
-    return rows.join(other.select(key).distinct(), key, "left_semi")
+    return rows.join(other.select(key), key, "left_semi")
 
 
 def coverage(universe: DataFrame, splits: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -39,11 +39,17 @@ def orphans(rows: DataFrame, owners: DataFrame, condition: Column) -> DataFrame:
 
 
 def prioritised_match(rows: DataFrame, candidates: DataFrame, on: list[str], identity: list[str], priority: str) -> DataFrame:
-    """For each row the candidate of lowest priority; rows without one are dropped. A min over a struct, no window."""
+    """For each row the candidate of lowest priority; rows without one are dropped. A min over a struct, no window.
+
+    Candidates are reduced to the best of each key, with a map-side combine, before they meet the rows.
+    """
     rest = [c for c in candidates.columns if c not in on]
-    joined = rows.join(candidates, on)
-    best = joined.groupBy(*identity).agg(F.min_by(F.struct(*rest), F.struct(*[priority, *[c for c in rest if c != priority]])).alias("_best"))
-    return best.select(*identity, "_best.*")
+    least = F.min_by(F.struct(*rest), F.struct(*[priority, *[c for c in rest if c != priority]])).alias("_best")
+    best = candidates.groupBy(*on).agg(least)
+    joined = rows.select(*dict.fromkeys([*identity, *on])).distinct().join(best, on)
+    if not set(on) <= set(identity):  # a row may hold several keys
+        joined = joined.select(*identity, "_best.*").groupBy(*identity).agg(least)
+    return joined.select(*identity, "_best.*")
 
 
 def strict_join(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

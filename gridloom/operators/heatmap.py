@@ -33,7 +33,7 @@ def occupancy(boxes: DataFrame, keys: list[str], grid: int = GRID) -> DataFrame:
 def heat(boxes: DataFrame, files: DataFrame, keys: list[str], grid: int = GRID) -> DataFrame:
     """Occupancy per label file (empty files count) and its share of the maximum over all keys."""
     counts = files.groupBy(*keys).agg(F.count("*").alias("files"))
-    cells = occupancy(boxes, keys, grid).join(F.broadcast(counts), keys)  # a row for each dataset
+    cells = occupancy(boxes, keys, grid).join(counts, keys)
     cells = cells.withColumn("value", F.col("boxes") / F.col("files"))
     peak = cells.agg(F.max("value").alias("peak"))
     share = F.when(F.col("peak") > 0, F.least(F.greatest(F.col("value") / F.col("peak"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)

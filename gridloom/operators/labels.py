@@ -14,12 +14,16 @@ _NUMBER = r"^[+-]?((\d+(_\d+)*)?\.?(\d+(_\d+)*)?([eE][+-]?\d+)?|inf|infinity|nan
 ERRORS = ("fields", "class", "numeric", "coordinates", "horizontal", "vertical")
 
 
+def _filled(text_col: str) -> Column:
+    """The non-blank lines of a text as (line, value): physical numbers from 1, white space as single spaces."""
+    numbered = F.transform(F.split(F.coalesce(_c(text_col), F.lit("")), LINE_BREAK), lambda x, i: F.struct((i + 1).alias("line"), F.trim(F.regexp_replace(x, r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+", " ")).alias("value")))
+    return F.filter(numbered, lambda x: x["value"] != "")
+
+
 def label_lines(files: DataFrame, text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
     """A row for each non-blank line: keys, ``line`` (1-based, physical), ``annotation_index`` (0-based, non-blank) and ``fields``."""
     keys = keys if keys is not None else [c for c in files.columns if c != text_col]
-    numbered = F.transform(F.split(F.coalesce(_c(text_col), F.lit("")), LINE_BREAK), lambda x, i: F.struct((i + 1).alias("line"), F.trim(F.regexp_replace(x, r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+", " ")).alias("value")))
-    filled = F.filter(numbered, lambda x: x["value"] != "")
-    lines = files.select(*keys, F.posexplode(filled).alias("annotation_index", "_line"))
+    lines = files.select(*keys, F.posexplode(_filled(text_col)).alias("annotation_index", "_line"))
     return lines.select(*keys, F.col("_line.line").alias("line"), "annotation_index", F.split(F.col("_line.value"), " ").alias("fields"))
 
 
@@ -29,29 +33,40 @@ def _float(x: Column) -> Column:
     return F.when(x.rlike(_NUMBER) & x.rlike(r"\d|inf|nan"), clean.try_cast("double"))
 
 
-def parse_boxes(lines: DataFrame) -> DataFrame:
-    """Adds class_id text, centre and size as doubles and ``error``: the first rule that the line breaks, or null."""
-    names = ["center_x", "center_y", "width", "height"]
-    out = lines.withColumn("class_id", F.get("fields", F.lit(0)))
-    out = out.withColumns({name: _float(F.get("fields", F.lit(k + 1))) for k, name in enumerate(names)})
-    x, y, w, h = (F.col(n) for n in names)
+#: The numbers of a label line, in order after the class.
+NUMBERS = ("center_x", "center_y", "width", "height")
+
+
+def line_error(fields: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The first rule that a line of ``fields`` with these numbers breaks, or null."""
     inside = x.between(0, 1) & y.between(0, 1) & (w > 0) & (w <= 1) & (h > 0) & (h <= 1)
     numeric = x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull()
-    error = (
-        F.when(F.size("fields") != 5, ERRORS[0]).when(F.col("class_id") != "0", ERRORS[1]).when(~numeric, ERRORS[2]).when(~inside | F.isnan(w) | F.isnan(h), ERRORS[3])
+    return (
+        F.when(F.size(fields) != 5, ERRORS[0]).when(F.get(fields, F.lit(0)) != "0", ERRORS[1]).when(~numeric, ERRORS[2]).when(~inside | F.isnan(w) | F.isnan(h), ERRORS[3])
         .when((x - w / 2 < -EDGE) | (x + w / 2 > 1 + EDGE), ERRORS[4]).when((y - h / 2 < -EDGE) | (y + h / 2 > 1 + EDGE), ERRORS[5])
     )
-    return out.withColumn("error", error)
+
+
+def parse_boxes(lines: DataFrame) -> DataFrame:
+    """Adds class_id text, centre and size as doubles and ``error``: the first rule that the line breaks, or null."""
+    out = lines.withColumn("class_id", F.get("fields", F.lit(0)))
+    out = out.withColumns({name: _float(F.get("fields", F.lit(k + 1))) for k, name in enumerate(NUMBERS)})
+    return out.withColumn("error", line_error(F.col("fields"), *(F.col(n) for n in NUMBERS)))
 
 
 def validate_label_text(files: DataFrame, source_col: str, text_col: str = "text") -> DataFrame:
-    """For each file its box count, or the first violation with its physical line: (source, boxes, error_line, error)."""
-    boxes = parse_boxes(label_lines(files, text_col, [source_col]))
-    bad = F.when(F.col("error").isNotNull(), F.struct("line", "error"))
-    found = boxes.groupBy(source_col).agg(F.count("*").alias("n"), F.min(bad).alias("first"))
-    out = files.select(source_col).join(found, source_col, "left")
-    boxes_col = F.when(F.col("first").isNull(), F.coalesce("n", F.lit(0)).cast("long"))
-    return out.select(source_col, boxes_col.alias("boxes"), F.col("first.line").alias("error_line"), F.col("first.error").alias("error"))
+    """For each row its box count, or the first violation with its physical line: (source, boxes, error_line, error).
+
+    A rule of the row alone: nothing is shuffled, and repeated rows are judged each by themselves.
+    """
+    def numbers(x: Column) -> Column:
+        fields = F.split(x["value"], " ")
+        return F.struct(x["line"].alias("line"), fields.alias("fields"), *(_float(F.get(fields, F.lit(k + 1))).alias(n) for k, n in enumerate(NUMBERS)))
+
+    lines = F.transform(_filled(text_col), numbers)
+    judged = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), line_error(x["fields"], *(x[n] for n in NUMBERS)).alias("error")))
+    out = files.select(source_col, judged.alias("_lines")).withColumn("_bad", F.get(F.filter("_lines", lambda x: x["error"].isNotNull()), F.lit(0)))
+    return out.select(source_col, F.when(F.col("_bad").isNull(), F.size("_lines").cast("long")).alias("boxes"), F.col("_bad.line").alias("error_line"), F.col("_bad.error").alias("error"))
 
 
 def collapse_to_class_zero(text: Text) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A run as long as this replaces the estimate; a shorter one only where there is none.
@@ -25,10 +25,24 @@ def mean_curve(history: DataFrame, keys: list[str], step: str, metric: str) -> D
     return history.groupBy(*keys, step).agg(F.avg(F.col(metric).cast("double")).alias("mean"), F.count(metric).alias("seeds"))
 
 
-def running_seconds(rows: DataFrame, keys: list[str], order: list[str], seconds: str) -> DataFrame:
-    """Running sum across resumes, rounded to hundredths."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("total_seconds", F.bround(F.sum(F.coalesce(seconds, F.lit(0))).over(w), 2))
+def running_seconds(rows: DataFrame, keys: list[str], order: list[str], seconds: str, cut: Column | None = None) -> DataFrame:
+    """Running sum across resumes, rounded to hundredths.
+
+    ``cut`` never falls along ``order`` (a day, for rows in order of time): sums of whole cuts come first, so no task has
+    more of a key than one cut.
+    """
+    value = F.coalesce(seconds, F.lit(0))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if cut is None:
+        return rows.withColumn("total_seconds", F.bround(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)), 2))
+    rows = rows.withColumn("_cut", cut)
+    sums = rows.groupBy(*keys, "_cut").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_sum")
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_cut").orderBy(*order).rowsBetween(*upto))
+    found = rows.withColumn("_inside", inside)
+    joined = found.join(sums, [found[c].eqNullSafe(sums[c]) for c in [*keys, "_cut"]])
+    return joined.select(*(found[c] for c in rows.columns if c != "_cut"), F.bround(F.col("_inside") + F.col("_before"), 2).alias("total_seconds"))
 
 
 def estimates(rows: DataFrame, keys: list[str], order: list[str], seconds: str, ok: str | None = None) -> DataFrame:

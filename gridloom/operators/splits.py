@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of a distributed rank; each is sorted by itself, offsets come from their counts.
 RANK_BUCKETS = 4096
+#: Tasks that the rows of one asset may be dealt to.
+SLOTS = 8
 
 
 def hash_key(seed: int, namespace: str, identity: str | Column) -> Column:
@@ -35,10 +37,15 @@ def ranked_by_hash(rows: DataFrame, key: str, identity: str, group: str | None =
 def largest_remainder(sizes: DataFrame, group: str, size: str, target: int) -> DataFrame:
     """Shares ``target`` over groups in proportion: floors first, leftovers by (fraction, size, name) descending.
 
-    ``sizes`` has one row a group; allocations never exceed ``target`` and one pass is made.
+    ``sizes`` has one row a group (a device, a segment: tens of rows, which is what the windows see); a group gets its
+    size at most. A negative target or one above the sum of all sizes is refused.
     """
     whole = Window.partitionBy(F.lit(0))
-    exact = F.col(size) * F.lit(float(target)) / F.sum(size).over(whole)
+    total = F.sum(size).over(whole)
+    if target < 0:
+        raise ValueError(f"cannot allocate {target}")
+    total = F.when(total < target, F.raise_error(F.concat(F.lit(f"cannot allocate {target} out of "), total.cast("string"))).cast("long")).otherwise(total)
+    exact = F.col(size) * F.lit(float(target)) / total
     out = sizes.withColumn("quota", F.floor(exact)).withColumn("fraction", exact - F.floor(exact))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("fraction"), F.desc(size), F.desc(group)))
     left = F.lit(target) - F.sum("quota").over(whole)
@@ -85,6 +92,15 @@ def nested_subsets(rows: DataFrame, order: str, base: int, multipliers: list[int
     return ranked.join(F.broadcast(sizes), F.col("rank") <= F.col("size")).drop("size")  # a row for each multiplier
 
 
+def locality_order(rows: DataFrame, asset: str, order: list[str]) -> DataFrame:
+    """Rows dealt so that those of one asset (a background) follow each other in one task and its decoded form is used again.
+
+    An asset with very many rows is split over tasks, each of which decodes it once.
+    """
+    slot = F.pmod(F.xxhash64(*order), F.lit(SLOTS))
+    return rows.repartition(F.col(asset), slot).sortWithinPartitions(asset, *order)
+
+
 def run_order(rows: DataFrame, identity: str, seed: int = 2027, limit: int | None = None) -> DataFrame:
     """Filtered runs in hash order; ``limit`` keeps the first of them."""
     out = rows.orderBy(hash_key(seed, "order", identity))

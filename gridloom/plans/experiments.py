@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import heatmap, selection, series, tables
+from gridloom.operators.labels import LINE_BREAK
 from gridloom.sources.sinks import bundle, csv_text, curve_svg, png, write_text
 
 METRICS = ("precision", "recall", "f1", "map50", "map75", "map50_95")
 COUNTING = ("mae", "rmse", "bias")
 BASELINE = "manual-full"
+#: What a run leaves behind, kept with a selected run where results have it.
+RUN_FILES = ("checkpoint", "checkpoint_sha256")
 
 
 def stable_hash(value: object, length: int = 12) -> str:
@@ -56,8 +59,10 @@ def filter_runs(runs: DataFrame, conditions: list[str] | None = None, models: li
 def select_by_validation(results: DataFrame, expected: DataFrame, seeds: list[int]) -> DataFrame:
     """The best candidate of each model and condition among those that ran on exactly the expected seeds, with its runs.
 
-    ``results``: run_id, candidate_id, condition, model_name, seed, map50_95, training_seconds. A condition without any
-    complete candidate is refused.
+    ``results``: run_id, candidate_id, condition, model_name, seed, map50_95, training_seconds, and where they are known
+    checkpoint and checkpoint_sha256, which stay with the run. What ``expected`` says of a candidate (model, parameters,
+    dataset_fingerprint) stays with it, so the selection names what to evaluate. A condition without any complete
+    candidate is refused.
     """
     known = results.join(expected.select("candidate_id").distinct(), "candidate_id", "left_semi")
     means = selection.candidate_means(known, ["model_name", "condition", "candidate_id"], "map50_95", "seed", seeds)
@@ -65,8 +70,33 @@ def select_by_validation(results: DataFrame, expected: DataFrame, seeds: list[in
     missing = expected.select("model_name", "condition").distinct().join(best, ["model_name", "condition"], "left_anti")
     if lost := missing.limit(5).collect():
         raise ValueError(f"no complete candidate for {[tuple(r) for r in lost]}")
-    runs = known.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("seed", "run_id", "map50_95", "training_seconds"))).alias("run_list"))  # one struct a seed
-    return best.join(runs, "candidate_id").select("model_name", "condition", "candidate_id", "mean", "std", F.col("run_list").alias("runs"))
+    runs = known.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("seed", "run_id", "map50_95", "training_seconds", *(c for c in RUN_FILES if c in known.columns)))).alias("run_list"))  # one struct a seed
+    told = [c for c in ("model", "parameters", "dataset_fingerprint") if c in expected.columns]
+    named = best.join(expected.select("candidate_id", *told).dropDuplicates(["candidate_id"]), "candidate_id")
+    return named.join(runs, "candidate_id").select("model_name", "condition", "candidate_id", *told, "mean", "std", F.col("run_list").alias("runs"))
+
+
+def count_pairs(predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """What counting errors are computed from: (id, target, predicted) of each predicted image.
+
+    ``predictions``: id, predicted; ``labels``: id, text, of which each non-blank line is one object. A prediction
+    whose image has no label file is refused when the rows are read; labels without prediction do not count.
+    """
+    marked = labels.select("id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), LINE_BREAK), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")).cast("long").alias("target"))
+    joined = predictions.select("id", F.col("predicted").cast("long").alias("predicted")).join(marked, "id", "left")
+    target = F.when(F.col("target").isNull(), F.raise_error(F.concat(F.lit("no label for "), F.col("id").cast("string"))).cast("long")).otherwise(F.col("target"))
+    return joined.select("id", target.alias("target"), "predicted")
+
+
+def write_comparisons(summary: DataFrame, folder: Path) -> list[Path]:
+    """``test_comparison_{model}.csv`` for each model and ``test_comparison_all.csv``: a few rows a condition, sorted."""
+    rows = [r.asDict() for r in comparison(summary).collect()]
+    names = ["model", "condition", "map50_95_mean", "map50_95_std", "delta_vs_manual_full", "runs"]
+    parts = {"all": rows} | {str(m): [r for r in rows if r["model"] == m] for m in sorted({r["model"] for r in rows})}
+    paths = {folder / f"test_comparison_{name}.csv": part for name, part in parts.items()}
+    for path, part in paths.items():
+        write_text(path, csv_text(part, names))
+    return list(paths)
 
 
 def evaluation_summary(evaluated: DataFrame) -> DataFrame:
