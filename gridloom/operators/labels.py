@@ -77,7 +77,9 @@ def collapse_to_class_zero(text: Text) -> Column:
 
 
 def box_line(center_x: Column, center_y: Column, width: Column, height: Column, digits: int = 8) -> Column:
-    return F.format_string(f"0 %.{digits}f %.{digits}f %.{digits}f %.{digits}f", center_x, center_y, width, height)
+    """A label line of class 0; a number halfway between two takes the even digit."""
+    fixed = (F.bround(x.cast("decimal(28,18)"), digits).cast("string") for x in (center_x, center_y, width, height))
+    return F.concat(F.lit("0 "), *(part for k, x in enumerate(fixed) for part in ([F.lit(" "), x] if k else [x])))
 
 
 def from_pixel_box(x: Text, y: Text, w: Text, h: Text, width: Text, height: Text, digits: int = 8) -> Column:

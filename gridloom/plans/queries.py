@@ -173,11 +173,13 @@ SQL_LEAKAGE = "WITH d AS (SELECT doc_id, sha256(trim(lower(text))) AS sha256 FRO
 
 
 def q_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an urgent order that is finished."""
     customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return audits.orphans(customers, _t(spark, sf_dir, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"))
+    urgent = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select("o_custkey")
+    return audits.orphans(customers, urgent, F.col("c_custkey") == F.col("o_custkey"))
 
 
-SQL_ORPHANS = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+SQL_ORPHANS = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"
 
 
 def q_prioritised_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +264,7 @@ SELECT event_id, user_id, seconds, estimate, CASE WHEN estimate IS NULL THEN '{X
 
 def q_running_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("value").cast("decimal(18,4)").alias("value"))
-    out = series.running_seconds(events, ["user_id"], ["ts", "event_id"], "value")
+    out = series.running_seconds(events, ["user_id"], ["ts", "event_id"], "value", F.to_date("ts"))
     return out.select("event_id", "user_id", F.col("total_seconds").cast("double").alias("total_seconds"))
 
 
@@ -277,17 +279,15 @@ SQL_FLATTEN = "SELECT event_id, key, json_extract_string(props, '$.' || key) AS
 
 
 def q_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attribute pattern on every page, with its links' targets as fields of a form."""
+    """Every page's links as fields of a form, of which a repeated name counts by its last value."""
     pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", '<a href="([^"]*)">([^<"]*)', '<input name="$1" value="$2"').alias("html"))
-    pattern = r'name="([^"]+)"\s+value="([^"]*)"'
-    found = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "name"), (2, "value"))))
-    return pages.select("page_id", F.posexplode(found).alias("ordinal", "f")).select("page_id", "ordinal", "f.name", "f.value")
+    return pages.select("page_id", F.explode(X.form_fields("html")).alias("name", "value"))
 
 
 SQL_FORM = r"""
 WITH p AS (SELECT page_id, regexp_replace(html, '<a href="([^"]*)">([^<"]*)', '<input name="\1" value="\2"', 'g') AS html FROM pages),
 m AS (SELECT page_id, regexp_extract_all(html, 'name="([^"]+)"\s+value="([^"]*)"', 1) AS n, regexp_extract_all(html, 'name="([^"]+)"\s+value="([^"]*)"', 2) AS v FROM p)
-SELECT page_id, (i - 1)::INTEGER AS ordinal, n[i] AS name, v[i] AS value FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM m)
+SELECT page_id, n[i] AS name, v[i] AS value FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM m) QUALIFY row_number() OVER (PARTITION BY page_id, n[i] ORDER BY i DESC) = 1
 """
 
 

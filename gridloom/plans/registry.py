@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries, scenes
+from . import queries, scenes, table_queries
 
-_MODULES = (queries, scenes)
+_MODULES = (queries, table_queries, scenes)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -13,7 +13,7 @@ def test_same_rows(spark, name):
     assert names == wanted_names
     assert len(rows) == len(wanted)
     assert rows == wanted
-    assert rows or name in {"q_split_leakage", "q_orphans"}
+    assert rows or name in {"q_split_leakage", "q_unused_maps"}
 
 
 def test_every_query_has_sql():
