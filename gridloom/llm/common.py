@@ -136,15 +136,17 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return own, label[own]
 
 
-def split_hot_groups(rows: DataFrame, key: str, identity: str, chunk: int) -> DataFrame:
+def split_hot_groups(rows: DataFrame, key: str, identity: str, chunk: int, scratch: Scratch | None = None) -> DataFrame:
     """Deal each group out as chunk pairs: rows get ``task`` (long), ``part`` (their chunk) and ``cross``.
 
     Two rows of one chunk meet in the chunk's own task (``cross`` false), two rows of different chunks in the task of
     that pair of chunks (``cross`` true), each exactly once. A group of s rows becomes about (s / chunk)^2 / 2 tasks of
     at most about 2 * chunk rows, so no task holds a whole hot group. Sizes come from a count with map-side
-    aggregation; only keys above ``chunk`` are joined back.
+    aggregation; only keys above ``chunk`` are joined back. With ``scratch`` those are counted first and kept, so
+    that Spark knows how few they are when it plans the join, and wide rows are not shuffled for it.
     """
     hot = rows.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > chunk)
+    hot = scratch.keep(hot, NARROW) if scratch else hot
     dealt = rows.join(hot, key, "left").withColumn("_n", F.coalesce(F.ceil(F.col("_size") / chunk), F.lit(1)).cast("int"))
     dealt = dealt.withColumn("part", F.pmod(F.hash(F.col(identity), F.lit(7)), F.col("_n")))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
