@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .decontaminate import words_of
 
 SEED = 11
 #: Words in a window, and between the starts of overlapping windows.
@@ -28,6 +27,14 @@ WINDOWS_AT_ONCE = 2048
 WORDS_AT_ONCE = 1 << 14
 
 
+#: Word bytes: digits, letters (A-Z lowered) and everything outside ASCII; the rest becomes a space.
+_TO_WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_TO_WORDS).split()
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -294,6 +301,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of ``documents``: doc_id, held_out, score, predicted; rows with crc32(doc_id) mod 3 of 1 are never learnt from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_toxicity(docs, fit_on(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
