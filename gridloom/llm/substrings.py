@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,8 @@ WINDOW = 20
 BASE = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 4096
+#: Buckets of hashes beyond the number of partitions: about half a million hashes each, up to here.
+MOST_BUCKETS = 1 << 16
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -44,29 +45,70 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def chunk_windows(texts: list[str | None], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text; hashes of all windows inside one text, in order; and the chunk word at which each starts."""
-    words = [(t or "").encode().split() for t in texts]
+def chunk_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after another, and where each text's words begin (one entry more than texts)."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at an end of a text leaves an empty piece
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full), before[split.offsets.to_numpy()]
+
+
+def in_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places by (first, second), equals as they stand; mostly equal firsts have equal seconds, and one key is enough."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    return np.lexsort((second, first)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+
+def windows(words: pa.Array, starts: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows inside one text, and where they start; ``seed`` makes hashes that do not depend on each other.
+    ``words`` may be encoded as a dictionary already."""
+    found = words if pa.types.is_dictionary(words.type) else words.dictionary_encode()
     digest = xxhash.xxh64_intdigest
-    flat = np.fromiter((digest(w) for ws in words for w in ws), np.uint64, sum(map(len, words)))
-    hashes = window_hashes(flat, width)
-    ends = np.fromiter(accumulate(map(len, words)), np.int64, len(words))
-    starts = np.arange(len(hashes))
-    end_of = ends[np.searchsorted(ends, starts, "right")] if len(starts) else starts
-    inside = starts + width <= end_of
-    return words, hashes[inside], starts[inside]
+    each = np.fromiter((digest(w, seed) for w in found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    hashes = window_hashes(each[found.indices.to_numpy()] if len(words) else np.empty(0, np.uint64), width)
+    at = np.arange(len(hashes))
+    inside = at + width <= np.repeat(starts[1:], np.diff(starts))[: len(hashes)]
+    return hashes[inside], at[inside]
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes ordered by (bucket, hash), their buckets, and for each window its distinct hash and whether it is the first."""
-    distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    bucket = ((distinct >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+    """Distinct hashes ordered by (bucket, hash), their buckets, each window's place among them, and how often each stands."""
+    distinct, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    bucket = (((distinct * np.uint64(BASE)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
-    is_first = np.zeros(len(hashes), bool)
-    is_first[first] = True
-    return distinct[order], bucket[order], place[back], is_first
+    return distinct[order], bucket[order], place[back], count[order]
+
+
+def _bits(answers: list[dict] | None, bucket: np.ndarray) -> np.ndarray:
+    """A chunk's answers, bucket by bucket, in the order in which it asked."""
+    found = {x["bucket"]: x["bits"] for x in answers or []}
+    used, counts = np.unique(bucket, return_counts=True)
+    return np.concatenate([np.unpackbits(np.frombuffer(found[b], np.uint8), count=n) for b, n in zip(used.tolist(), counts.tolist(), strict=True)] or [np.empty(0, np.uint8)]).astype(bool)
+
+
+class Suspects:
+    """A chunk's windows whose first hash stands more than once, in the chunk or elsewhere, as distinct pairs of two hashes.
+
+    Pairs are ordered by bucket, and inside one by value. What two windows are is decided by both hashes."""
+
+    def __init__(self, words: pa.Array, starts: np.ndarray, width: int, mask: int, buckets: int, answers: list[dict] | None):
+        words = words.dictionary_encode()
+        hashes, at = windows(words, starts, width)
+        distinct, bucket, place, count = by_bucket(hashes & np.uint64(mask), buckets)
+        again = ((count > 1) | _bits(answers, bucket))[place]
+        other, place = windows(words, starts, width, 1)[0][again], place[again]
+        self.at = at[again]
+        order = in_order(place, other)
+        first, second = place[order], other[order]
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])) if len(order) else np.empty(0, bool)
+        self.bucket, self.pairs = bucket[first[new]], np.stack([distinct[first[new]], second[new]], 1)
+        self.of, self.is_first = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+        self.of[order] = np.cumsum(new) - 1
+        self.is_first[order[new]] = True
 
 
 def _chunks(docs: DataFrame, text_col: str, rows_type: T.DataType) -> DataFrame:
@@ -91,7 +133,7 @@ def _chunks(docs: DataFrame, text_col: str, rows_type: T.DataType) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, first_bits: int = 64) -> DataFrame:
     """All columns of ``docs`` (clashing ones are replaced) plus ``n_words``, ``n_removed``, ``removed`` (maximal [start, end)
     word intervals) and ``kept`` (kept words joined by one space).
 
@@ -102,81 +144,104 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows are range-partitioned by id once and packed into chunks, written to the shared folder, so a window's place is
     its chunk and no ids travel with hashes. Each chunk sends every distinct window hash once, 8 bytes, to the hash's
-    bucket; a bucket answers with one bit each: did an earlier chunk have it? So a window that a third of all texts
-    share is one entry a chunk, and no group of occurrences is gathered.
+    bucket, which counts and answers with one bit each: does another chunk have it? Windows with such a hash, or with
+    one that stands twice in their chunk, go a second time with a second, independent hash, 16 bytes, and the bucket
+    answers whether an earlier chunk has that very pair. So equality rests on 128 bits of two hashes (``first_bits``
+    narrows the first, for tests), and a window that a third of all texts share is one entry a chunk; no group of
+    occurrences is gathered. There are more buckets than partitions, and a task holds one bucket at a time.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     own = ["n_words", "n_removed", "removed", "kept"]
     base = docs.drop(*own)
     rows_type = T.StructType([T.StructField(f.name, f.dataType, True) for f in base.schema])
-    buckets = partitions(spark)
     order = base.withColumn("__h", F.xxhash64(text_col))
-    order = order.repartitionByRange(buckets, F.col(id_col), F.col("__h")).sortWithinPartitions(id_col, "__h").drop("__h")
+    order = order.repartitionByRange(partitions(spark), F.col(id_col), F.col("__h")).sortWithinPartitions(id_col, "__h").drop("__h")
     chunks = scratch.keep(_chunks(order, text_col, rows_type))
+    buckets = max(partitions(spark), min(chunks.count() // 2, MOST_BUCKETS))
+    mask = (1 << first_bits) - 1
+
+    def rows_of(at: int, bucket: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        used, first = np.unique(bucket, return_index=True)
+        parts = np.split(values, first[1:]) if len(used) else []
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([at] * len(used), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "at", "hashes"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                distinct, bucket, _, _ = by_bucket(windows(*chunk_words(texts.values), width)[0] & np.uint64(mask), buckets)
+                yield rows_of(at, bucket, distinct)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in zip(batch.column(0), batch.column(1), strict=True):
-                _, hashes, _ = chunk_windows(texts.as_py(), width)
-                distinct, bucket, _, _ = by_bucket(hashes, buckets)
-                used, first = np.unique(bucket, return_index=True)
-                parts = np.split(distinct, first[1:]) if len(used) else []
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([at.as_py()] * len(used), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "at", "hashes"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "bucket", 1):
-            for b in np.unique(group.column("bucket").to_numpy()):
-                mine = group.filter(pc.equal(group.column("bucket"), int(b)))
-                raw = mine.column("hashes").to_pylist()
-                sizes = [len(x) // 8 for x in raw]
-                joined = np.frombuffer(b"".join(raw), np.uint64)
-                order = np.argsort(joined, kind="stable")  # rows come by chunk, so equals stand in global order
-                later = np.zeros(len(joined), bool)
-                if len(joined):
-                    sorted_ = joined[order]
-                    later[order[1:]] = sorted_[1:] == sorted_[:-1]
-                bits = [np.packbits(x).tobytes() for x in np.split(later, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([mine.column("at").combine_chunks().cast(pa.int64()), pa.array([b] * len(bits), pa.int64()), pa.array(bits, pa.binary())], ["at", "bucket", "bits"])
-
-    sent = chunks.select("at", F.col("rows").getField(text_col).alias("texts")).mapInArrow(send, "bucket long, at long, hashes binary")
-    sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "at")
-    answers = scratch.keep(sent.mapInArrow(decide, "at long, bucket long, bits binary"))
-    answers = answers.groupBy("at").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+            for at, texts, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                found = Suspects(*chunk_words(texts.values), width, mask, buckets, answers.as_py())
+                yield rows_of(at, found.bucket, found.pairs)
+
+    def decide(columns: int, earlier: bool):
+        """Bits for what each chunk of a bucket asked: does an earlier chunk (or any other one) have it, too?"""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in whole_groups(batches, "bucket", 1):
+                column = group.column("bucket").to_numpy()
+                for b in np.unique(column).tolist():
+                    lo, hi = int(np.searchsorted(column, b)), int(np.searchsorted(column, b, "right"))
+                    mine = group.slice(lo, hi - lo)
+                    raw = mine.column("hashes").to_pylist()
+                    sizes = [len(x) // (8 * columns) for x in raw]
+                    values = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, columns)
+                    order = in_order(values[:, 0], values[:, -1])  # rows come by chunk: equals stand in global order
+                    same = (values[order[1:]] == values[order[:-1]]).all(1)
+                    known = np.zeros(len(values), bool)
+                    known[order[1:]] = same
+                    if not earlier:
+                        known[order[:-1]] |= same
+                    bits = [np.packbits(x).tobytes() for x in np.split(known, np.cumsum(sizes)[:-1])]
+                    yield pa.RecordBatch.from_arrays([mine.column("at").combine_chunks().cast(pa.int64()), pa.array([b] * len(bits), pa.int64()), pa.array(bits, pa.binary())], ["at", "bucket", "bits"])
+
+        return run
+
+    texts = chunks.select("at", F.col("rows").getField(text_col).alias("texts"))
+    asked = "bucket long, at long, hashes binary"
+
+    def answered(sent: DataFrame, columns: int, earlier: bool) -> DataFrame:
+        dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "at")
+        bits = scratch.keep(dealt.mapInArrow(decide(columns, earlier), "at long, bucket long, bits binary"))
+        return bits.groupBy("at").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+
+    shared = answered(texts.mapInArrow(ask, asked), 1, False)
+    later = answered(texts.join(shared, "at", "left").select("at", "texts", "answers").mapInArrow(ask_again, asked), 2, True)
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     schema = T.StructType([*rows_type.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("kept", T.StringType())])
     names = base.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            for rows, got in zip(batch.column(0), batch.column(1), strict=True):
+            for rows, answers, verdicts in zip(*batch.columns, strict=True):
                 rows = rows.values
-                words, hashes, starts = chunk_windows(rows.field(names.index(text_col)).to_pylist(), width)
-                _, bucket, place, is_first = by_bucket(hashes, buckets)
-                bits = {x["bucket"]: x["bits"] for x in got.as_py() or []}
-                used, counts = np.unique(bucket, return_counts=True)
-                later = np.concatenate([np.unpackbits(np.frombuffer(bits[b], np.uint8), count=n) for b, n in zip(used.tolist(), counts.tolist(), strict=True)] or [np.empty(0, np.uint8)]).astype(bool)
-                gone = starts[later[place] | ~is_first]
-                edge = np.zeros(sum(map(len, words)) + 1, np.int64)
+                words, starts = chunk_words(rows.field(names.index(text_col)))
+                found = Suspects(words, starts, width, mask, buckets, answers.as_py())
+                gone = found.at[_bits(verdicts.as_py(), found.bucket)[found.of] | ~found.is_first]
+                edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, gone, 1)
                 np.add.at(edge, gone + width, -1)
                 covered = np.cumsum(edge)[:-1] > 0
-                n_words, n_removed, spans, kept, first = [], [], [], [], 0
-                for ws in words:
-                    mask = covered[first : first + len(ws)]
-                    first += len(ws)
-                    turn = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
-                    n_words.append(len(ws))
-                    n_removed.append(int(mask.sum()))
-                    spans.append([{"start": a, "end": b} for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)])
-                    ends = [0, *turn.tolist(), len(ws)]
-                    kept.append(b" ".join(w for a, b in zip(ends[::2], ends[1::2], strict=True) for w in ws[a:b]).decode())
-                yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.string())], [*names, *own])
+                text_of = np.repeat(np.arange(len(rows)), np.diff(starts))
+                removed = np.bincount(text_of, covered, len(rows)).astype(np.int64)
+                spans = []
+                for a, b, some in zip(starts[:-1].tolist(), starts[1:].tolist(), removed.tolist(), strict=True):
+                    turn = np.flatnonzero(np.diff(covered[a:b].astype(np.int8), prepend=0, append=0)).tolist() if some else []
+                    spans.append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2], strict=True)])
+                left = np.concatenate([[0], np.cumsum(np.diff(starts) - removed)]).astype(np.int32)
+                kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left), words.filter(pa.array(~covered))), " ")
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(np.diff(starts).astype(np.int64)), pa.array(removed), pa.array(spans, pa.list_(span)), kept], [*names, *own])
 
-    return chunks.join(answers, "at", "left").select("rows", "answers").mapInArrow(cut, schema)
+    both = chunks.join(shared, "at", "left").join(later.withColumnRenamed("answers", "verdicts"), "at", "left")
+    return both.select("rows", "answers", "verdicts").mapInArrow(cut, schema)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of ``documents``: doc_id, n_words, n_removed, kept_sha256, by 20-word windows that also start earlier."""
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
