@@ -293,6 +293,7 @@ def fold_words_native(words: DataFrame, path: str, word_col: str = "word", bucke
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256 (null: empty text)."""
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 

@@ -196,6 +196,7 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of ``pages``, read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     target = f"{Scratch(spark, 'warc').root}/archives"
     write_archives(table(spark, sf_dir, "pages"), target)
     return read_archives(spark, target, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

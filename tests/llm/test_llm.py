@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -88,9 +90,45 @@ def test_embeddings_against_brute_force(spark):
 
 
 def test_recall_by_design():
-    bits, tables = embeddings.cells_for(50_000)
-    same = (1 - np.arccos(0.9) / np.pi) ** bits
-    assert (1 - same) ** tables <= embeddings.MISS and 0 < embeddings.count_needed() < embeddings.COUNTED
+    rng = np.random.default_rng(9)
+    for rows in (200, 50_000, 10**7):
+        parts, tables = embeddings.cells_for(rows)
+        x = rng.standard_normal((3000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.standard_normal((3000, 64))
+        y -= (x * y).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        cosine = rng.uniform(0.9, 0.92, (3000, 1))
+        a, b = (embeddings.cell_names(embeddings.compress(v)[0], parts, tables) for v in (x, cosine * x + np.sqrt(1 - cosine**2) * y))
+        found = (a == b).any(1)
+        assert found.mean() >= 0.995, (rows, parts, tables, found.mean())
+    assert 0 < embeddings.count_needed() < embeddings.COUNTED
+
+
+def test_bytes_a_vector_grow_slowly():
+    """Multiples of a vector of 64 floats; 12 KB were sent at 51,000 rows and 400 KB at 10^9 when whole vectors travelled."""
+    assert [round(embeddings.bytes_a_vector(10**k, 64) / 256) for k in (5, 6, 7, 8, 9)] == sorted(round(embeddings.bytes_a_vector(10**k, 64) / 256) for k in (5, 6, 7, 8, 9))
+    assert embeddings.bytes_a_vector(51_000, 64) < 8 * 256 and embeddings.bytes_a_vector(10**9, 64) < 48 * 256
+
+
+def test_links_near_the_threshold_and_repeated_ids(spark):
+    """Cosines all around 0.9, some within 1e-6 of it: decided as in double precision. Ids repeat, another column clashes."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((120, 64))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = np.concatenate([rng.uniform(0.88, 0.92, 60), 0.9 + rng.choice([-1e-6, 1e-6, -1e-3, 1e-3], 60)])[:, None]
+    both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(both)] + [(5, both[5].tolist(), 2)]
+    got = embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int"))
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    found = {(r.id, r.n_links) for r in got.collect()}
+    extra = near[:, 5].astype(int) + (np.arange(240) == 5)
+    assert found == {(k, int(near[k].sum() + extra[k])) for k in range(240)} and got.count() == 241
 
 
 # 2
@@ -284,7 +322,7 @@ def test_simhash_finds_every_close_pair(spark):
 
 
 def contamination_brute(texts, items, width=10):
-    split = lambda t: decontaminate.words_of(t)
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     windows = {}
     for name, text in items:
         w = split(text)
@@ -302,12 +340,12 @@ def contamination_brute(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
-def test_contamination_against_brute_force(spark, docs, no_docs, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 20, 30])
+def test_contamination_against_brute_force(spark, docs, no_docs, block_words):
     items = [(1, prose(1, 25)), (2, "Quick, brown fox!"), (3, None), (4, ""), (5, prose(1, 25)), (10, prose(2, 10)), (11, "é"), (12, "...")]
     texts = [prose(3) + " " + prose(1, 25).upper() + " " + prose(4), prose(2, 10), prose(1, 25)[:-4], "x " + "é " * 3]
     frame = docs.select("doc_id", "text", "score", "n_words").union(spark.createDataFrame([(100 + k, t, 0, 0) for k, t in enumerate(texts)], "doc_id long, text string, score long, n_words int"))
-    got = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    got = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
     assert got.columns == ["doc_id", "text", "score", "n_words", "n_hit", "n_items", "items", "hit_spans", "contaminated"]
     rows = got.collect()
     want = contamination_brute([r.text for r in rows], items)
@@ -319,6 +357,29 @@ def test_contamination_against_brute_force(spark, docs, no_docs, block_bytes):
     assert sorted(r.n_words for r in none) == sorted(w[0] for w in want) and not any(r.contaminated for r in none)
 
 
+def test_index_of_many_windows(monkeypatch):
+    """A block's index is arrays of some 30 bytes a window; common words, repeats and short items as brute force has them."""
+    rng = np.random.default_rng(7)
+    items = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)) % 50)) for k in range(300)] + [(900, "w1 " * 40), (901, "w1 " * 12)]
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 50) + " " + items[k][1] for k in range(0, 60)] + ["w1 " * 30, None, "", "w2"]
+    vocabulary = pa.array(sorted({w for _, t in items for w in t.split()}))
+    words, ends = decontaminate.words_of(pa.array([t for _, t in items]))
+    index = decontaminate.Index(decontaminate.numbered(words, vocabulary), ends, rng.permutation(len(vocabulary)), 10)
+    words, starts = decontaminate.words_of(pa.array(texts))
+    ids, want = decontaminate.numbered(words, vocabulary), contamination_brute(texts, items)
+    hit, found = [set() for _ in texts], [set() for _ in texts]
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    for at, windows in index.hits(ids, starts):
+        for a, w in zip(at.tolist(), windows.tolist(), strict=True):
+            t = int(np.searchsorted(starts, a, "right")) - 1
+            hit[t] |= set(range(a, a + int(index.size[w])))
+            found[t] |= {str(items[k][0]) for k in index.owners[index.owners_at[w] : index.owners_at[w + 1]]}
+    assert [(len(h), sorted(f)) for h, f in zip(hit, found, strict=True)] == [(w[1], w[2]) for w in want]
+    many = np.arange(1 << 20) % 40_000
+    index = decontaminate.Index(many, np.array([0, 1 << 19, 1 << 20]), np.arange(40_000), 10)
+    assert sum(x.nbytes for x in vars(index).values()) < 40 << 20
+
+
 # 6
 
 
@@ -470,18 +531,21 @@ def repeats_brute(rows, width):
     return out
 
 
-def test_substrings_against_brute_force(spark, docs, no_docs, monkeypatch):
+@pytest.mark.parametrize("first_bits", [64, 5])
+def test_substrings_against_brute_force(spark, docs, no_docs, monkeypatch, first_bits):
+    """With five bits the first hash collides all the time; what goes is decided by both hashes."""
     monkeypatch.setattr(substrings, "CHUNK_ROWS", 7)
     rng = random.Random(10)
     shared = [prose(k, 30, 5000) for k in range(5)]
     texts = [" ".join([prose(100 + k, 20), rng.choice(shared), prose(200 + k, 10), rng.choice(shared)]) for k in range(60)] + ["same " * 50, "ab " * 19, "ab " * 20, "ab " * 21]
-    frame = docs.where("doc_id is not null").union(spark.createDataFrame([(100 + k, t, 0, "x", 0) for k, t in enumerate(texts)], docs.schema))
-    got = substrings.remove_repeats(frame)
+    frame = docs.union(spark.createDataFrame([(100 + k, t, 0, "x", 0) for k, t in enumerate(texts)], docs.schema))
+    frame = frame.union(spark.createDataFrame([(None, texts[3], 0, "x", 0)], docs.schema)).where("doc_id is not null or text not like 'no id%'")
+    got = substrings.remove_repeats(frame, first_bits=first_bits)
     assert got.columns == ["doc_id", "text", "score", "n_words", "n_removed", "removed", "kept"]
     rows = got.orderBy("doc_id").collect()
-    source = sorted(((r.doc_id, r.text) for r in frame.collect()), key=lambda r: (r[0], r[1] or ""))
+    source = sorted(((r.doc_id, r.text) for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = repeats_brute(source, substrings.WINDOW)
-    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows) == sorted((i, *w) for (i, _), w in zip(source, want, strict=True))
+    assert sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept) for r in rows) == sorted((repr(i), *w) for (i, _), w in zip(source, want, strict=True))
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in rows) and sum(r.n_removed > 0 for r in rows) > 50
     assert substrings.remove_repeats(no_docs).count() == 0
     assert substrings.remove_repeats(docs).count() == 11
@@ -526,5 +590,27 @@ def test_pipeline(spark, tmp_path, docs):
     assert all(codec.decode(r.ids).decode() == (seen["decontaminate"][i].text or "") and r.n_tokens == len(r.ids) for i, r in out.items())
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids stay but for what is cut from them, repeated rows are one, a column that clashes comes back, no rows give none."""
+    item, passage, alone = prose(77, 30, 300), prose(78, 60, 300), prose(60, 80, 300)
+    odd = [(None, prose(61, 40, 300)), (None, None), (1, alone), (1, alone), (2, alone + " end"), (3, passage + " " + prose(62, 30, 300)), (4, prose(63, 30, 300) + " " + passage), (5, item), (6, "w " * 70_000 + passage)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, predicted int"
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "mine", 7) for i, t in odd], schema)
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    scratch, docs, left = common.Scratch(spark, "t"), frame, {}
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = scratch.keep(stage(spark, docs, str(tmp_path)))
+        assert docs.schema.names == frame.schema.names and {(r.kept, r.predicted) for r in docs.collect()} == {("mine", 7)}
+        left[name] = sorted((repr(r.doc_id), r.text or "") for r in docs.collect())
+        none = stage(spark, frame.where("false"), str(tmp_path))
+        assert none.count() == 0 and none.columns == frame.columns
+    texts = dict(odd[2:])
+    assert left["simhash"] == sorted([("None", odd[0][1]), ("None", ""), ("1", alone), *((str(k), texts[k]) for k in (3, 4, 5, 6))])
+    cut = dict(left["substrings"])
+    assert cut["3"] == texts[3] and cut["4"] == texts[4][: -len(passage) - 1] and cut["6"].split() == ["w"] and cut["None"] in (odd[0][1], "")
+    assert [k for k, _ in left["decontaminate"]] == ["1", "3", "4", "6", "None", "None"]
+    assert corpus_pipeline.tokenize(spark, docs, str(tmp_path)).count() == 6
+
+
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
