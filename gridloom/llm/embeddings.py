@@ -22,6 +22,8 @@ COUNT_MISS = 1e-4
 #: Projections whose window collisions are counted, and half a window in units of a threshold pair's distance.
 COUNTED = 32
 HALF_WINDOW = 1.5
+#: Steps of half a window, by which places on a projection are rounded to a byte each.
+STEPS = 14
 #: Rows of a cell that are aimed at, and projections that one part of a cell's name ranks at most.
 CELL_ROWS = 256
 RANKED = 64
@@ -92,6 +94,20 @@ def cell_names(whole: np.ndarray, parts: tuple[int, ...], tables: int) -> np.nda
     return names
 
 
+def places(x: np.ndarray, half: float) -> np.ndarray:
+    """Places of vectors on the counted projections, a byte each, in steps of a window's half over STEPS. Rounding and the
+    ends of a byte only bring places nearer: two within ``half`` of each other are within STEPS steps."""
+    found = (x @ directions(x.shape[1], COUNTED, 0).astype(np.float32)) / np.float32(64)
+    return np.clip(np.rint(found * np.float32(STEPS / half)) + 128, 0, 255).astype(np.uint8)
+
+
+def collisions(spots: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many windows each pair (i, j) collides."""
+    a, b = spots.take(i, 0), spots.take(j, 0)
+    near = np.maximum(a, b) - np.minimum(a, b) <= STEPS
+    return np.bitwise_count(near.view(np.uint64)).sum(1)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
     """Unit vectors in double precision."""
     flat = column.take(pa.array(rows)).combine_chunks() if isinstance(column, pa.ChunkedArray) else column.take(pa.array(rows))
@@ -182,18 +198,14 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
                 mine = group.take(pa.array(rows)) if len(rows) < group.num_rows else group
                 whole = np.frombuffer(b"".join(mine.column("whole").to_pylist()), np.int8).reshape(-1, dim)
                 t, node, mult, scale, error = (mine.column(c).to_numpy() for c in ("t", "node", "mult", "scale", "error"))
-                x = whole * scale[:, None]
-                spots = np.ascontiguousarray((x @ directions(dim, COUNTED, 0).astype(np.float32)) / np.float32(64))
+                spots = places(whole * scale[:, None], half)
                 lost = error.astype(np.float64)
                 pairs, doubtful = [], []
                 for i, j in task_pairs(*(mine.column(c).to_numpy() for c in ("task", "part", "cross"))):
                     for k in range(0, len(i), 1 << 15):
                         a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-                        for c in range(0, COUNTED, 8):  # what can no longer reach the count goes early
-                            now = (np.abs(spots[a, c : c + 8] - spots[b, c : c + 8]) <= half).sum(1)
-                            seen = now if c == 0 else seen + now
-                            able = seen + (COUNTED - c - 8) >= need
-                            a, b, seen = a[able], b[able], seen[able]
+                        often = collisions(spots, a, b) >= need
+                        a, b = a[often], b[often]
                         # In double precision, products of whole numbers are exact; the scales are those stored.
                         dot = np.einsum("ij,ij->i", whole[a].astype(np.float64), whole[b].astype(np.float64)) * scale[a].astype(np.float64) * scale[b]
                         slack = lost[a] + lost[b] + lost[a] * lost[b] + 1e-12
