@@ -45,6 +45,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 LEAST_WRITERS = 16
 #: Spark deletes the shuffle files of an execution when it ends; set while a scratch table is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes that go to a Python worker at once (Spark's default is 64 MB); set while a scratch table is written. A batch is
+#: held by the JVM, with room to grow, and by the worker.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 class Scratch:
@@ -68,15 +71,17 @@ class Scratch:
         """
         self.n += 1
         path = f"{self.root}/{self.n}"
-        before = self.spark.conf.get(CLEANUP, "false")
+        before = self.spark.conf.get(CLEANUP, "false"), self.spark.conf.get(BATCH)
         self.spark.conf.set(CLEANUP, "true")
+        self.spark.conf.set(BATCH, BATCH_BYTES)
         try:
             schema = frame.schema
             n = partitions(self.spark)
             frame = frame.coalesce(max(min(n, LEAST_WRITERS), n // narrow)) if narrow > 1 else frame
             frame.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            self.spark.conf.set(CLEANUP, before[0])
+            self.spark.conf.set(BATCH, before[1])
         return self.spark.read.schema(schema).parquet(path)
 
     def free(self, frame: DataFrame) -> None:

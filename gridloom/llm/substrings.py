@@ -148,7 +148,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one that stands twice in their chunk, go a second time with a second, independent hash, 16 bytes, and the bucket
     answers whether an earlier chunk has that very pair. So equality rests on 128 bits of two hashes (``first_bits``
     narrows the first, for tests), and a window that a third of all texts share is one entry a chunk; no group of
-    occurrences is gathered. There are more buckets than partitions, and a task holds one bucket at a time.
+    occurrences is gathered. There are more buckets than partitions, and a task holds one bucket at a time; tasks become
+    more with the chunks, so that each has a few buckets or chunks.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
@@ -159,6 +160,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = order.repartitionByRange(partitions(spark), F.col(id_col), F.col("__h")).sortWithinPartitions(id_col, "__h").drop("__h")
     chunks = scratch.keep(_chunks(order, text_col, rows_type))
     buckets = max(partitions(spark), min(chunks.count() // 2, MOST_BUCKETS))
+    spread = max(partitions(spark), buckets // 2)
     mask = (1 << first_bits) - 1
 
     def rows_of(at: int, bucket: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
@@ -205,12 +207,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = "bucket long, at long, hashes binary"
 
     def answered(sent: DataFrame, columns: int, earlier: bool) -> DataFrame:
-        dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "at")
+        dealt = sent.repartition(spread, "bucket").sortWithinPartitions("bucket", "at")
         bits = scratch.keep(dealt.mapInArrow(decide(columns, earlier), "at long, bucket long, bits binary"))
-        return bits.groupBy("at").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+        return bits.repartition(spread, "at").groupBy("at").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
     shared = answered(texts.mapInArrow(ask, asked), 1, False)
-    later = answered(texts.join(shared, "at", "left").select("at", "texts", "answers").mapInArrow(ask_again, asked), 2, True)
+    later = answered(texts.repartition(spread, "at").join(shared, "at", "left").select("at", "texts", "answers").mapInArrow(ask_again, asked), 2, True)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     schema = T.StructType([*rows_type.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("kept", T.StringType())])
     names = base.columns
@@ -236,7 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left), words.filter(pa.array(~covered))), " ")
                 yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(np.diff(starts).astype(np.int64)), pa.array(removed), pa.array(spans, pa.list_(span)), kept], [*names, *own])
 
-    both = chunks.join(shared, "at", "left").join(later.withColumnRenamed("answers", "verdicts"), "at", "left")
+    both = chunks.repartition(spread, "at").join(shared, "at", "left").join(later.withColumnRenamed("answers", "verdicts"), "at", "left")
     return both.select("rows", "answers", "verdicts").mapInArrow(cut, schema)
 
 
