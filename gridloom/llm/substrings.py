@@ -74,20 +74,19 @@ def windows(words: pa.Array, starts: np.ndarray, width: int, seed: int = 0) -> t
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes ordered by (bucket, hash), their buckets, each window's place among them, and how often each stands."""
-    distinct, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    bucket = (((distinct * np.uint64(BASE)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    return distinct[order], bucket[order], place[back], count[order]
+    """Distinct hashes in order (times an odd number, so that also few low bits spread over the buckets), their buckets,
+    which are ranges of them, each window's place among them, and how often each stands."""
+    distinct, place, count = np.unique(hashes * np.uint64(BASE), return_inverse=True, return_counts=True)
+    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return distinct, bucket.astype(np.int64), place, count
 
 
 def _bits(answers: list[dict] | None, bucket: np.ndarray) -> np.ndarray:
     """A chunk's answers, bucket by bucket, in the order in which it asked."""
     found = {x["bucket"]: x["bits"] for x in answers or []}
-    used, counts = np.unique(bucket, return_counts=True)
-    return np.concatenate([np.unpackbits(np.frombuffer(found[b], np.uint8), count=n) for b, n in zip(used.tolist(), counts.tolist(), strict=True)] or [np.empty(0, np.uint8)]).astype(bool)
+    counts = np.bincount(bucket)
+    used = np.flatnonzero(counts)
+    return np.concatenate([np.unpackbits(np.frombuffer(found[b], np.uint8), count=n) for b, n in zip(used.tolist(), counts[used].tolist(), strict=True)] or [np.empty(0, np.uint8)]).astype(bool)
 
 
 class Suspects:
@@ -118,7 +117,7 @@ def _chunks(docs: DataFrame, text_col: str, rows_type: T.DataType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            sizes = np.fromiter((len(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))), np.int64, batch.num_rows)
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_numpy(zero_copy_only=False)
             start, held = 0, 0
             for k, size in enumerate([*sizes.tolist(), None]):
                 if size is None or k > start and (held + size > CHUNK_BYTES or k - start >= CHUNK_ROWS):
