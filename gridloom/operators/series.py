@@ -45,10 +45,31 @@ def running_seconds(rows: DataFrame, keys: list[str], order: list[str], seconds:
     return joined.select(*(found[c] for c in rows.columns if c != "_cut"), F.bround(F.col("_inside") + F.col("_before"), 2).alias("total_seconds"))
 
 
-def estimates(rows: DataFrame, keys: list[str], order: list[str], seconds: str, ok: str | None = None) -> DataFrame:
-    """The estimate held before each run: the last earlier success of LEAST_SECONDS or more, else the first success."""
+def estimates(rows: DataFrame, keys: list[str], order: list[str], seconds: str, ok: str | None = None, cut: Column | None = None) -> DataFrame:
+    """The estimate held before each run: the last earlier success of LEAST_SECONDS or more, else the first success.
+
+    ``cut`` as in ``running_seconds``: what whole cuts leave behind is worked out first, so no task has more of a key than one cut.
+    """
+    if cut is None:
+        return _estimates(rows, keys, order, seconds, ok, F.lit(0))
+    good = F.col(ok) if ok else F.lit(True)
+    rows = rows.withColumn("_cut", cut)
+    at = F.struct(*order)
+    long = F.when(good & (F.col(seconds) >= LEAST_SECONDS), at)
+    left = rows.groupBy(*keys, "_cut").agg(F.count_if(good).alias("_good"), F.max_by(F.col(seconds), long).alias("_last"), F.min_by(F.col(seconds), F.when(good, at)).alias("_lead"))
+    earlier = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.withColumn("_before", F.coalesce(F.sum("_good").over(earlier), F.lit(0)))
+    left = left.withColumn("_kept", F.coalesce("_last", F.when((F.col("_before") == 0) & (F.col("_good") > 0), F.col("_lead"))))
+    left = left.withColumn("_carried", F.last("_kept", ignorenulls=True).over(earlier)).select(*keys, "_cut", "_before", "_carried")
+    joined = rows.join(left.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate([*keys, "_cut"])}), [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, "_cut"])])
+    inside = _estimates(joined, [*keys, "_cut"], order, seconds, ok, F.col("_before"))
+    return inside.select(*rows.columns[:-1], F.coalesce("estimate", "_carried").alias("estimate"))
+
+
+def _estimates(rows: DataFrame, keys: list[str], order: list[str], seconds: str, ok: str | None, before: Column) -> DataFrame:
+    """The estimates within ``keys``, of which ``before`` successes came earlier."""
     base = Window.partitionBy(*keys).orderBy(*order)
     good = F.col(ok) if ok else F.lit(True)
-    numbered = rows.withColumn("_n", F.when(good, F.sum(good.cast("int")).over(base.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    numbered = rows.withColumn("_n", F.when(good, before + F.sum(good.cast("int")).over(base.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     kept = F.when(good & ((F.col("_n") == 1) | (F.col(seconds) >= LEAST_SECONDS)), F.col(seconds))
     return numbered.withColumn("estimate", F.last(kept, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, -1))).drop("_n")

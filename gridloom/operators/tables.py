@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +29,39 @@ def as_map(counts: DataFrame, key: Column, value: str = "n") -> DataFrame:
 
 
 def ordered_hash(rows: DataFrame, keys: list[str], order: list[str], text: list[str], name: str = "sha256") -> DataFrame:
-    """SHA-256 of a group's canonical JSON list of string lists, in order; groups are manifests, which are small."""
+    """SHA-256 of a group's canonical JSON list of string lists, in order, and its number of rows.
+
+    Such a digest must see its group in order, so a task does; it streams over sorted rows, which spill, and holds one
+    batch of them. Rows that tie come in the order of their text.
+    """
     line = F.concat(F.lit("["), F.concat_ws(",", *(json_string(F.col(c).cast("string")) for c in text)), F.lit("]"))
-    listed = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    joined = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["_line"]), ","), F.lit("]"))
-    return rows.groupBy(*keys).agg(F.sha2(joined, 256).alias(name), F.count("*").alias("records"))
+    places = [f"_o{k}" for k in range(len(order))]
+    cut = rows.select(*keys, *(F.col(c).alias(p) for c, p in zip(order, places, strict=True)), line.alias("_line"))
+    kept = T.StructType([*rows.select(*keys).schema.fields, T.StructField(name, T.StringType()), T.StructField("records", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, count, kinds = None, None, 0, []
+
+        def done() -> pa.RecordBatch:
+            digest.update(b"]")
+            values = [*(pa.array([v], kind) for v, kind in zip(now, kinds, strict=True)), pa.array([digest.hexdigest()]), pa.array([count], pa.int64())]
+            return pa.RecordBatch.from_arrays(values, names=kept.names)
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in range(len(keys))]
+            groups = zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True) if keys else repeat((), batch.num_rows)
+            for group, value in zip(groups, batch.column(len(keys)).to_pylist(), strict=True):
+                if group != now:
+                    if digest:
+                        yield done()
+                    now, digest, count = group, hashlib.sha256(b"["), 0
+                digest.update((b"," if count else b"") + value.encode())
+                count += 1
+        if digest:
+            yield done()
+
+    dealt = cut.repartition(*keys) if keys else cut.repartition(1)
+    return dealt.sortWithinPartitions(*keys, *places, "_line").select(*keys, "_line").mapInArrow(run, kept)
 
 
 def manifest_fingerprint(rows: DataFrame, keys: list[str], identity: str, digest: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.exprs import base_name, stem
 from gridloom.operators import audits, splits, tables
 from gridloom.operators.labels import collapse_to_class_zero, from_corners, infer_device, label_lines, looks_augmented, parse_boxes, validate_label_text
+from gridloom.session import checkpointed
 from gridloom.sources.annotations import Problems, read_annotations
 from gridloom.sources.files import binary, device_metadata, list_images, whole_texts, with_camera
 
@@ -43,6 +44,7 @@ def import_records(spark: SparkSession, folder: str, kind: str = "auto", metadat
         F.col("stem").alias("id"), F.col("name").alias("original_name"), F.concat(F.lit("images/"), "stem", F.lit(".jpg")).alias("image"), F.concat(F.lit("labels/"), "stem", F.lit(".txt")).alias("label"),
         F.col("_d.device").alias("device"), F.col("_d.device_source").alias("device_source"), "boxes", "raw_size", "canonical_size", "exif", F.sha2("content", 256).alias("raw_image_sha256"), F.sha2("text", 256).alias("label_sha256"), "text",
     )
+    out = checkpointed(out)  # images are read and decoded once, the checks read records
     total = out.agg(F.count("*").alias("n"), F.coalesce(F.sum("boxes"), F.lit(0)).alias("boxes")).first()
     for what, wanted, got in (("images", expected_images, total.n), ("boxes", expected_boxes, total.boxes)):
         if wanted is not None and wanted != got:

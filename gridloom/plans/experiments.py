@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import heatmap, selection, series, tables
 from gridloom.operators.labels import LINE_BREAK
-from gridloom.sources.sinks import bundle, csv_text, curve_svg, png, write_text
+from gridloom.sources.sinks import bundle, csv_lines, csv_text, curve_svg, png, write_text
 
 METRICS = ("precision", "recall", "f1", "map50", "map75", "map50_95")
 COUNTING = ("mae", "rmse", "bias")
@@ -160,11 +161,12 @@ def curves(history: DataFrame, conditions: list[str]) -> tuple[DataFrame, dict[s
 
 
 def analysis_bundle(frames: dict[str, tuple[DataFrame, list[str]]], protocol: dict, provenance: dict[str, object], path: Path) -> list[str]:
-    """CSV extracts of small report frames plus protocol and provenance, deflated into one archive."""
-    files = {}
+    """CSV extracts of report frames plus protocol and provenance, deflated into one archive; the driver holds a partition of a frame at a time."""
+    files: dict[str, str | Iterable[str]] = {}
     for name, (frame, preferred) in frames.items():
         flat = frame.select(*tables.flatten(frame))
-        files[f"analysis_csv/{name}.csv"] = csv_text([r.asDict() for r in flat.collect()], [c for c in preferred if c in flat.columns])
+        first = [c for c in preferred if c in flat.columns]
+        files[f"analysis_csv/{name}.csv"] = csv_lines((r.asDict() for r in flat.toLocalIterator()), [*first, *sorted(set(flat.columns) - set(first))])
     for name, rows in (("protocol", sorted(tables.flatten_dict(protocol).items())), ("provenance", [("analysis_schema_version", 1), *provenance.items()])):
         files[f"analysis_csv/{name}.csv"] = csv_text([{"key": k, "value": v} for k, v in rows], ["key", "value"])
     bundle(files, path)

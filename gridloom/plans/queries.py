@@ -249,7 +249,7 @@ SQL_CURVE = "SELECT event_type, ts::DATE AS day, round_even(avg(value), 6) AS me
 
 def q_eta_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.bround("value", 0).alias("seconds"), (F.col("event_type") != "error").alias("ok"))
-    out = series.estimates(events, ["user_id"], ["ts", "event_id"], "seconds", "ok")
+    out = series.estimates(events, ["user_id"], ["ts", "event_id"], "seconds", "ok", F.to_date("ts"))
     return out.select("event_id", "user_id", "seconds", "estimate", X.eta("estimate", "seconds").alias("eta"))
 
 

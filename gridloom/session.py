@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def automatic_workers(cpu_count: int | None = None) -> int:
@@ -23,3 +25,15 @@ def session(name: str = "gridloom", cpus: int | None = None, shuffle_partitions:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """``frame``, computed once and kept in ``spark.checkpoint.dir``; a temporary folder stands in for it in local mode only."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="gridloom-"))
+    return frame.checkpoint()

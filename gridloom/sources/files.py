@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
-from urllib.parse import unquote
+from typing import IO
+from urllib.parse import quote, unquote
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,24 +61,62 @@ def safe_members(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
     return out
 
 
+def _stream(path: str) -> IO[bytes]:
+    """A file that can be read at any place, so an archive is never held whole."""
+    if re.match(r"file:/|/", path):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    store, inner = FileSystem.from_uri(quote(path, safe=":/@?=&"))
+    return store.open_input_file(inner)
+
+
+def _wanted(archive: zipfile.ZipFile, excluded_roots: tuple[str, ...]) -> list[zipfile.ZipInfo]:
+    return [i for i in safe_members(archive) if not i.is_dir() and PurePosixPath(i.filename).parts[0] not in excluded_roots]
+
+
 def read_archives(files: DataFrame, excluded_roots: tuple[str, ...] = ()) -> DataFrame:
-    """Members of ZIP files given as (path, content), one task an archive; bad checksums and unsafe names fail the read."""
+    """Members of the ZIP files named by ``path``; bad checksums and unsafe names fail the read.
+
+    Archives of any size: their directories are read first, then members are dealt out to tasks, each of which reads
+    its own from their places in the file. A member is a row.
+    """
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with _stream(path) as source, zipfile.ZipFile(source) as archive:
+                    wanted = {id(info) for info in _wanted(archive, excluded_roots)}
+                    places = [place for place, info in enumerate(archive.infolist()) if id(info) in wanted]
+                if places:
+                    yield pd.DataFrame({"archive": [path] * len(places), "place": places})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for info in safe_members(archive):
-                        if not info.is_dir() and PurePosixPath(info.filename).parts[0] not in excluded_roots:
-                            yield pd.DataFrame([(path, info.filename, info.file_size, archive.read(info))], columns=["archive", "member", "size", "content"])  # read() checks the CRC
+            for path, group in batch.groupby("archive", sort=False):
+                with _stream(path) as source, zipfile.ZipFile(source) as archive:
+                    listed = archive.infolist()
+                    for place in group["place"]:
+                        yield _member(path, archive, listed[place])
 
-    return files.select("path", "content").mapInPandas(run, MEMBER)
+    listed = files.select("path").mapInPandas(names, "archive string, place long")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of names are not put in one task
+    return listed.repartition(tasks, "archive", "place").sortWithinPartitions("archive", "place").mapInPandas(run, MEMBER)
+
+
+def _member(path: str, archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> pd.DataFrame:
+    return pd.DataFrame([(path, info.filename, info.file_size, archive.read(info))], columns=["archive", "member", "size", "content"])  # read() checks the CRC
 
 
 def nested_archive(members: DataFrame, name: str) -> DataFrame:
-    """The members of one archive inside another."""
-    inner = members.where(F.col("member").endswith(name)).select(F.col("member").alias("path"), "content")
-    return read_archives(inner)
+    """The members of archives inside others, which are rows and so held by their task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["member"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for info in _wanted(archive, ()):
+                        yield _member(path, archive, info)
+
+    return members.where(F.col("member").endswith(name)).select("member", "content").mapInPandas(run, MEMBER)
 
 
 def read_yaml(path: str) -> dict:
