@@ -1,4 +1,4 @@
-"""LM scoring by a hierarchical Pitman-Yor model whose context restaurants share parents."""
+"""LM scoring by a hierarchical Pitman-Yor model: a restaurant for each word before; those of a class share a parent."""
 
 from __future__ import annotations
 
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from .common import NARROW, Scratch, partitions, table, whole_groups
 
 SEED = 3
-#: Context classes of the word before: FAN fine restaurants share each of the COARSE ones, which share the root.
+#: Every distinct word has a restaurant of its own for what follows it. Those of the words of one fine class share a
+#: parent, FAN fine classes share each of the COARSE ones, and these share the root.
 COARSE, FAN = 64, 16
 FINE = COARSE * FAN
-DISCOUNT = {"fine": 0.75, "coarse": 0.75, "root": 0.5}
-STRENGTH = {"fine": 1.0, "coarse": 1.0, "root": 1.0}
+DISCOUNT = {"word": 0.75, "fine": 0.75, "coarse": 0.75, "root": 0.5}
+STRENGTH = {"word": 1.0, "fine": 1.0, "coarse": 1.0, "root": 1.0}
 #: Sweeps before sampling, and samples whose predictive probabilities are averaged.
 BURN_IN, SAMPLES, ROUNDS = 2, 3, 2
 #: The end of a text as a token; no word is empty. It also stands before a text's first word.
@@ -33,17 +34,20 @@ BATCH_CHARS = 6 << 20
 #: Tokens for each bucket of words: the number of buckets follows the corpus alone, so a bucket is what bounds a task's
 #: memory, and the seats drawn do not depend on how many partitions there are or where rows lie.
 BUCKET_TOKENS = 1 << 19
-#: Share of all tokens from which a word counts as hot: at most 4,000 words, whose tables are 33 MB at most.
-HOT_SHARE = 2.5e-4
-HELD = np.uint32(1 << 31)
+#: Share of all tokens (and part of a bucket) from which a word counts as hot: at most 4,000 words, whose probabilities in
+#: all classes are 33 MB at most. A hot word's pairs are dealt over all buckets, so that no bucket follows one word.
+HOT_SHARE, HOT_PART = 2.5e-4, 64
+#: Pairs of one word listed together at most, and a pair's occurrences in a batch from which they are listed apart, so that
+#: both are a byte.
+RUN, BIG = 255, 127
 #: Customers up to which the weights of all seatings are tabled one by one, the largest tabled, and most tables in a row.
 EXACT, LARGEST, MOST_TABLES = 64, 1 << 14, 1024
-#: Partial sums of texts that a scoring task adds up over buckets before they leave.
-HELD_SUMS = 1 << 21
+#: Buckets whose words' restaurants are added up together, and parts in which sums for the driver are added up.
+HOME_BUCKETS, SLICES = 8, 64
 
 
 def context_class(word: bytes) -> int:
-    """Fine class of a preceding word: its coarse class (two last bytes) and a part from its last four."""
+    """Fine class of a word, the parent of its restaurant: its coarse class (two last bytes) and a part from its last four."""
     return zlib.crc32(word[-2:]) % COARSE * FAN + (zlib.crc32(word[-4:]) >> 8) % FAN
 
 
@@ -97,19 +101,25 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng: np.rando
 
 
 class Counts:
-    """Training counts of one bucket's words: entries (word, fine context, count), ordered by both."""
+    """Customers of one bucket's words in the classes' restaurants: entries (word, fine class, count), ordered by both."""
 
     def __init__(self, words: int, key: np.ndarray, count: np.ndarray):
         """``key`` is word * FINE + context, distinct and in order, ``count`` its customers, at least one."""
-        self.key, self.count = key, count
+        self.key = key
         self.words, self.word, self.fine = words, key // FINE, key % FINE
         pair = self.word * COARSE + self.fine // FAN  # in order too
         new = np.diff(pair, prepend=-1) != 0
         self.pairs, self.pair_of = pair[new], np.cumsum(new) - 1
-        self.total = np.bincount(self.word, self.count, words).astype(np.int64)
+        self.recount(count)
 
-    def sample(self, tables: dict[str, np.ndarray], customers: np.ndarray, known: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
-        """Seat every customer anew, given all restaurants' table totals of the last sweep, bottom up, ROUNDS times over.
+    def recount(self, count: np.ndarray) -> None:
+        """Other numbers of customers in the same places."""
+        self.count = count
+        self.total = np.bincount(self.word, count, self.words).astype(np.int64)
+
+    def sample(self, tables: dict[str, np.ndarray], customers: np.ndarray, known: int, rng: np.random.Generator, rounds: int = ROUNDS, before: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+        """Seat every customer anew, given all restaurants' table totals of the last sweep, bottom up, ``rounds`` times over,
+        the first time by the parents of what sat there ``before``.
 
         What sits in a restaurant is sent up as one customer a table."""
         fine_mass, coarse_mass, root_mass = _masses(tables)
@@ -117,14 +127,17 @@ class Counts:
         word_of_pair, coarse_of_pair = self.pairs // COARSE, self.pairs % COARSE
         root = np.maximum(self.total, 1) / max(customers.sum(), 1)
         pair = root[word_of_pair]
-        for _ in range(ROUNDS):
+        if before:
+            root, pair = self.parents(before, tables, known)
+        for number in range(rounds):
             fine_tables = seat(self.count, fine_mass[self.fine] * pair[self.pair_of], DISCOUNT["fine"], rng)
             pair_customers = np.bincount(self.pair_of, fine_tables, len(self.pairs)).astype(np.int64)
             pair_tables = seat(pair_customers, coarse_mass[coarse_of_pair] * root[word_of_pair], DISCOUNT["coarse"], rng)
             word_customers = np.bincount(word_of_pair, pair_tables, self.words).astype(np.int64)
             word_tables = seat(word_customers, np.full(self.words, root_mass * base), DISCOUNT["root"], rng)
             got = {"fine": fine_tables, "pair_customers": pair_customers, "coarse": pair_tables, "word_customers": word_customers, "root": word_tables}
-            root, pair = self.parents(got, tables, known)
+            if number + 1 < rounds:
+                root, pair = self.parents(got, tables, known)
         return got
 
     def parents(self, got: dict[str, np.ndarray], tables: dict[str, np.ndarray], known: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,23 +198,20 @@ def tokenise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.insert(found.indices.to_numpy().astype(np.int64), np.cumsum(lengths), len(words) - 1), lengths + 1, words
 
 
-def hot_words(scratch: Scratch, docs: DataFrame, share: float = HOT_SHARE) -> tuple[int, list[bytes]]:
-    """Number of all tokens, and words that surely make up ``share`` of them or more: at most 1 / share.
+def word_ids(words: list[bytes]) -> np.ndarray:
+    """Numbers by which words are told apart: 54 bits of a hash over the word's class, which follows from its last four bytes."""
+    found = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    ends = [w[-4:] for w in words]
+    classes = {e: context_class(e) for e in set(ends)}
+    return found - found % np.uint64(FINE) + np.fromiter(map(classes.__getitem__, ends), np.uint64, len(words))
 
-    Each task reports the words with half that share of its own tokens; what it leaves out only makes counts smaller.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, _, words = tokenise(batch.column(0))
-            seen = np.bincount(ids, minlength=len(words))
-            often = np.flatnonzero(2 * seen >= max(share * len(ids), 1))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.binary()), words.take(pa.array(often))]), pa.array([len(ids), *seen[often].tolist()], pa.int64())], ["word", "n"])
 
-    counted = scratch.keep(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), NARROW)
-    total = counted.where("word is null").first()
-    total = total.n if total else 0
-    return total, sorted(bytes(r.word) for r in counted.where(F.col("word").isNotNull() & (F.col("n") >= share * total)).collect())
+def _index(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Place of each of ``ids`` among the others, -1 where it is none of them."""
+    if not len(sorted_ids):
+        return np.full(len(ids), -1)
+    at = np.minimum(np.searchsorted(sorted_ids, ids), len(sorted_ids) - 1)
+    return np.where(sorted_ids[at] == ids, at, -1)
 
 
 def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -210,91 +220,342 @@ def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _occurrences(docs: DataFrame, buckets: int, kind: str, hot: list[bytes]) -> DataFrame:
-    """Texts in batches, dealt by word: a row for each batch and bucket of words, and one with the batch's texts.
+def _flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """All rows of bytes one after another, as numbers."""
+    found = [np.zeros(0, np.uint8)]
+    for chunk in column.chunks:
+        if len(chunk) and chunk.buffers()[2] is not None:
+            cuts = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            found.append(np.frombuffer(chunk.buffers()[2], np.uint8)[cuts[0] : cuts[-1]])
+    return np.concatenate(found).view(kind)
 
-    ``words`` hold a bucket's distinct words in the batch, ``sizes`` their occurrences, ``where`` those occurrences'
-    texts (numbers in the batch; the top bit marks held-out ones) and ``contexts`` their fine contexts. Hot words do not
-    travel by occurrence: their buckets get training counts (``sums``: word, context, count), and their occurrences
-    stay in the batch's own row.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(hot)})
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """Each value of ``key`` with its rows, from batches sorted by it."""
+    for group in whole_groups(batches, key, 1):
+        column = group.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), len(column)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(column[lo]), group.slice(lo, hi - lo)
+
+
+def _token_table(docs: DataFrame, kind: str) -> DataFrame:
+    """Texts in batches: a row with ids, lengths, which are held out, the distinct words' numbers, most frequent first, how
+    often each stands in all and in training texts, and all tokens as places among them, byte by byte of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         number = TaskContext.get().partitionId() << 32
-        names = ["batch", "bucket", "ids", "held", "words", "sizes", "where", "contexts", "sums"]
-        hot = shared.value
         for whole in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             cuts = np.unique([0, *np.searchsorted(sizes, np.arange(BATCH_CHARS, sizes[-1] if len(sizes) else 0, BATCH_CHARS)), whole.num_rows])
             for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 batch = whole.slice(start, stop - start)
-                held = batch.column(2).to_numpy(zero_copy_only=False)
-                ids, lengths, words = tokenise(batch.column(1))
-                plain = words.to_pylist()
-                classes = np.fromiter(map(context_class, plain), np.uint16, len(plain))
-                bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in plain), np.int64, len(plain))
-                warm = np.fromiter((hot.get(w, -1) for w in plain), np.int64, len(plain))
-                before = np.concatenate([[len(plain) - 1], ids[:-1]])  # the word before a first word is the last text's END
-                where = np.repeat(np.arange(len(lengths), dtype=np.uint32) | np.where(held, HELD, np.uint32(0)), lengths)
-                contexts = classes[before]
-                mine = warm[ids] >= 0
-                own = (warm[ids[mine]].astype("<u2"), where[mine], contexts[mine])
-                trained = mine & ((where & HELD) == 0)
-                sums, amount = np.unique(ids[trained] * FINE + contexts[trained], return_counts=True)
-                by_bucket = np.argsort(bucket, kind="stable")
-                rank = np.empty(len(plain), np.int64)
-                rank[by_bucket] = np.arange(len(plain))
-                ids, where, contexts = rank[ids[~mine]], where[~mine], contexts[~mine]
-                order = np.argsort(ids, kind="stable")
-                each = np.bincount(ids, minlength=len(plain))
-                used, at = np.unique(bucket[by_bucket], return_index=True)
-                at = np.append(at, len(plain))
-                ends = np.concatenate([[0], np.cumsum(each)])[at]
-                sums = np.stack([rank[sums // FINE], sums % FINE, amount], 1).astype("<i8")
-                sums = sums[np.argsort(sums[:, 0], kind="stable")]
-                sums_at = np.searchsorted(sums[:, 0], at)
-                sums[:, 0] -= np.repeat(at[:-1], np.diff(sums_at))
-                none = pa.nulls(1, pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1]), pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)), pa.array([lengths.astype("<u4").tobytes()]), none, *(pa.array([x.tobytes()]) for x in own), pa.nulls(1, pa.binary())], names)
-                listed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), words.take(pa.array(by_bucket)))
-                rows = [_packed(each.astype("<u4"), at), _packed(where[order], ends), _packed(contexts[order], ends), _packed(sums, sums_at)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), number)), pa.array(used), pa.nulls(len(used), pa.list_(batch.column(0).type)), pa.nulls(len(used), pa.binary()), listed, *rows], names)
+                held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                tokens, lengths, words = tokenise(batch.column(1))
+                each = np.bincount(tokens, minlength=len(words))
+                order = np.argsort(-each, kind="stable")
+                rank = np.empty(len(words), np.int64)
+                rank[order] = np.arange(len(words))
+                learnt = np.bincount(tokens[~np.repeat(held, lengths)], minlength=len(words))
+                values = lengths.astype("<u4"), held.astype(np.uint8), word_ids(words.to_pylist())[order].astype("<u8"), np.stack([each, learnt])[:, order].astype("<u4"), rank[tokens].astype("<u4").view(np.uint8).reshape(-1, 4).T
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)), *(pa.array([x.tobytes()]) for x in values)], ["batch", "ids", "lengths", "held", "words", "each", "tokens"])
                 number += 1
 
-    schema = f"batch long, bucket long, ids array<{kind}>, held binary, words array<binary>, sizes binary, where binary, contexts binary, sums binary"
-    return docs.mapInArrow(run, schema)
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[np.ndarray], np.ndarray, np.ndarray, Counts, pa.Array]]:
-    """Each bucket: number, batches, their occurrences' texts, its distinct keys and each occurrence's place among them,
-    training counts, and its words in order of their bytes, wherever they come from."""
-
-    def numbers(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-        return [np.frombuffer(x, kind) for x in column.to_pylist()]
-
-    for group in whole_groups(batches, "bucket", 1):
-        column = group.column("bucket").to_numpy()
-        for b in np.unique(column).tolist():
-            lo, hi = int(np.searchsorted(column, b)), int(np.searchsorted(column, b, "right"))
-            rows = group.slice(lo, hi - lo)
-            found = pa.concat_arrays([x.flatten() for x in rows.column("words").chunks]).dictionary_encode()
-            sort = pc.array_sort_indices(found.dictionary).to_numpy()
-            rank = np.empty(len(sort), np.int64)
-            rank[sort] = np.arange(len(sort))
-            mine = rank[found.indices.to_numpy()]  # of each batch's words, batch by batch
-            first = np.concatenate([[0], np.cumsum(pc.list_value_length(rows.column("words")).to_numpy())])
-            where = numbers(rows.column("where"), "<u4")
-            word = np.repeat(mine, np.concatenate(numbers(rows.column("sizes"), "<u4")))
-            sums = [x.reshape(-1, 3) for x in numbers(rows.column("sums"), "<i8")]
-            sum_word = mine[np.concatenate([x[:, 0] + k for k, x in zip(first.tolist(), sums, strict=False)])]
-            sums = np.concatenate(sums)
-            every = np.concatenate([word * FINE + np.concatenate(numbers(rows.column("contexts"), "<u2")), sum_word * FINE + sums[:, 1]])
-            keys, back = np.unique(every, return_inverse=True)
-            amount = np.concatenate([(np.concatenate(where) & HELD) == 0, sums[:, 2]])
-            count = np.bincount(back, amount, len(keys)).astype(np.int64)
-            yield b, rows.column("batch").to_pylist(), where, keys, back[: len(word)], Counts(len(sort), keys[count > 0], count[count > 0]), found.dictionary.take(pa.array(sort))
+    return docs.mapInArrow(run, f"batch long, ids array<{kind}>, lengths binary, held binary, words binary, each binary, tokens binary")
+
+
+def hot_words(scratch: Scratch, tokens: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Numbers of all and of training tokens; hot words, in order of their numbers, and how often each stands in training texts.
+
+    A hot word has the share of all tokens in at least one batch, and only words that have it in one are counted in all:
+    which words are hot does not depend on how texts lie in batches."""
+
+    def counts(words: bytes, each: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(words, "<u8"), np.frombuffer(each, "<u4").reshape(2, -1).astype(np.int64)
+
+    def row(words: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(x) for x in numbers)], ["word", "n", "learnt"])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, numbers = counts(*x)
+                often = numbers[0] >= HOT_SHARE * numbers[0].sum()
+                # the batch's sums go with word null
+                yield pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()), *(pa.array([int(k.sum()), *[0] * int(often.sum())]) for k in numbers)], ["word", "n", "learnt"])
+
+    each, schema = tokens.select("words", "each"), "word long, n long, learnt long"
+    found = scratch.keep(each.mapInArrow(propose, schema).groupBy("word").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt")), NARROW)
+    sums = found.where("word is null").first()
+    total, trained = (sums.n, sums.learnt) if sums else (0, 0)
+    some = np.sort(np.array([r[0] for r in found.where("word is not null").select("word").collect()], np.int64).view(np.uint64))
+    shared = tokens.sparkSession.sparkContext.broadcast(some)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = shared.value
+        sums = np.zeros((2, len(some)), np.int64)
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, numbers = counts(*x)
+                at = _index(some, words)
+                for k in (0, 1):
+                    np.add.at(sums[k], at[at >= 0], numbers[k][at >= 0])
+        yield row(some, sums)
+
+    exact = each.mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"))
+    rows = exact.where(F.col("n") >= max(HOT_SHARE * total, BUCKET_TOKENS // HOT_PART)).collect()
+    hot, learnt = np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.learnt for r in rows], np.int64)
+    order = np.argsort(hot)
+    return total, trained, hot[order], learnt[order]
+
+
+class Pairs:
+    """Distinct pairs (word, word before) of a batch in order of their bucket, the word (hot ones first), and the word before;
+    ``of`` is each token's pair. A pair's bucket is that of its word, but the pairs of a hot word are dealt over all buckets."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, hot: np.ndarray, buckets: int):
+        self.words, self.hot = words, _index(hot, words)
+        end = np.flatnonzero(words == word_ids([END])[0])[:1]  # the word before a first word is the last text's END
+        keys, back = np.unique(tokens * len(words) + np.concatenate([end, tokens[:-1]]), return_inverse=True)
+        word, near = keys // len(words), keys % len(words)
+        mixed = words // np.uint64(FINE)
+        deal = mixed[word]
+        warm = self.hot[word] >= 0
+        spread = (deal[warm] * np.uint64(0x9E3779B97F4A7C15)) ^ mixed[near[warm]]
+        spread *= np.uint64(0xD6E8FEB86659FD93)
+        deal[warm] = spread ^ (spread >> np.uint64(32))
+        bucket = (deal % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(2 * bucket + ~warm, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.of, self.word, self.near, self.bucket = rank[back], word[order], near[order], bucket[order]
+        #: Where a run of a word in a bucket begins (RUN pairs at most), whether its word is hot, and where another bucket begins.
+        new = (np.diff(self.word, prepend=-1) != 0) | (np.diff(self.bucket, prepend=-1) != 0)
+        self.starts = np.flatnonzero((np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]) % RUN == 0)
+        self.warm = self.hot[self.word[self.starts]] >= 0
+        self.cuts = np.append(np.flatnonzero(np.diff(self.bucket, prepend=-1)), len(order))
+
+
+def _read_tokens(column: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(column, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _messages(tokens: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """A row for each batch and bucket: its runs' words (``warm``: hot ones, as places among the hot words; after them ``words``),
+    how many pairs each has, the words before (``near``: hot ones, ``far``), and a byte ``n`` a pair: twice how often it stands in training
+    texts (beyond BIG in ``big``), and one more if the word before is not hot."""
+    shared = tokens.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        hot = shared.value
+        for batch in batches:
+            for number, lengths, held, words, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = Pairs(np.frombuffer(words, "<u8"), _read_tokens(ids), hot, buckets)
+                learnt = np.repeat(np.frombuffer(held, np.uint8) == 0, np.frombuffer(lengths, "<u4"))
+                n = np.bincount(p.of[learnt], minlength=len(p.word))
+                cold, big = p.hot[p.near] < 0, n >= BIG
+
+                def cuts(which: np.ndarray, at: np.ndarray) -> np.ndarray:
+                    return np.concatenate([[0], np.cumsum(which)])[at]
+
+                runs = np.searchsorted(p.starts, p.cuts)
+                word, sizes = p.word[p.starts], np.diff(p.starts, append=len(p.word)).astype(np.uint8)
+                columns = [
+                    _packed(p.hot[word[p.warm]].astype("<u2"), cuts(p.warm, runs)),
+                    _packed(p.words[word[~p.warm]], cuts(~p.warm, runs)),
+                    _packed(sizes, runs),
+                    _packed(p.hot[p.near[~cold]].astype("<u2"), cuts(~cold, p.cuts)),
+                    _packed(p.words[p.near[cold]], cuts(cold, p.cuts)),
+                    _packed((2 * np.minimum(n, BIG) + cold).astype(np.uint8), p.cuts),
+                    _packed(n[big].astype("<u4"), cuts(big, p.cuts)),
+                ]
+                used = p.bucket[p.cuts[:-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), number)), *columns], ["bucket", "batch", "warm", "words", "sizes", "near", "far", "n", "big"])
+
+    return tokens.select("batch", "lengths", "held", "words", "tokens").mapInArrow(run, "bucket long, batch long, warm binary, words binary, sizes binary, near binary, far binary, n binary, big binary")
+
+
+class Leaves:
+    """The restaurants of words at one bucket's dishes, below ``upper``, those of the classes.
+
+    ``key`` (word * FINE + class of the word before) are the places in the classes' restaurants, ``once`` how many words of
+    that class stand before the word just once: those have one table each, always. Pairs seen more often have a place
+    ``at`` in ``key``, a number ``near`` for the word before and a ``count``. ``hot`` is each word's place among the hot words, or -1:
+    a hot word's pairs lie in all buckets, so its classes' restaurants are sampled by the driver."""
+
+    def __init__(self, hot: np.ndarray, key: np.ndarray, once: np.ndarray, at: np.ndarray, near: np.ndarray, count: np.ndarray):
+        self.hot, self.key, self.once, self.at, self.near, self.count = hot, key, once, at, near, count
+        self.cold = hot[key // FINE] < 0
+        self.least = once + np.bincount(at, minlength=len(key))
+        self.upper = Counts(len(hot), key[self.cold], self.least[self.cold])
+        upper, every = self.upper, np.ones(len(self.upper.key), bool)
+        self.places = upper.word, upper.fine, upper.pair_of, every, np.arange(len(every)), every  # of its own keys
+
+    def sample(self, seated: np.ndarray, state: State, known: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Seat every customer anew, given the last sweep's tables of every restaurant (``seated``: of the words before):
+        tables of the pairs seen more than once, customers of ``key``, and what sits in the classes' restaurants."""
+        mass = STRENGTH["word"] + DISCOUNT["word"] * seated[self.near]
+        word = self.key // FINE
+        self.upper.recount(self.least[self.cold])
+        p = (np.maximum(self.upper.total, 1) / max(state.customers.sum(), 1))[word]
+        p[~self.cold] = state.warm[self.hot[word[~self.cold]], self.key[~self.cold] % FINE]
+        got = None
+        for _ in range(ROUNDS):
+            if got:
+                p[self.cold] = self.upper.predict(got, state.tables, state.customers, known, self.places)
+            tables = seat(self.count, mass * p[self.at], DISCOUNT["word"], rng)
+            customers = self.once + np.bincount(self.at, tables, len(self.key)).astype(np.int64)
+            self.upper.recount(customers[self.cold])
+            got = self.upper.sample(state.tables, state.customers, known, rng, 1, got)
+        return tables, customers, got
+
+
+class State:
+    """What every bucket is given of a sweep: customers and tables of the classes' restaurants, tables of the hot words'
+    own (``seated``), and the hot words' probabilities in every class (``warm``)."""
+
+    def __init__(self, customers: np.ndarray, tables: dict[str, np.ndarray], seated: np.ndarray, warm: np.ndarray):
+        self.customers, self.tables, self.seated, self.warm = customers, tables, seated, warm
+
+
+class Bucket:
+    """A bucket's words and words before in order of their numbers, its distinct pairs with training counts, and the pair
+    of each pair that came from a batch (``back``), batch by batch."""
+
+    def __init__(self, rows: pa.Table, hot: np.ndarray):
+        #: Runs of words in each batch's row that are hot, and that are not.
+        self.runs = (pc.binary_length(rows.column(k)).to_numpy() // size for k, size in (("warm", 2), ("words", 8)))
+        self.runs = np.stack(list(self.runs), 1)
+        cold = np.repeat(np.tile([False, True], len(self.runs)), self.runs.ravel())
+        words = np.empty(len(cold), np.uint64)
+        words[cold], words[~cold] = _flat(rows.column("words"), "<u8"), hot[_flat(rows.column("warm"), "<u2")]
+        self.words, word = np.unique(words, return_inverse=True)
+        self.cold_runs = word[cold]
+        n = _flat(rows.column("n"), "<u1")
+        self.pairs = pc.binary_length(rows.column("n")).to_numpy()
+        cold, n = (n & 1).astype(bool), (n >> 1).astype(np.int64)
+        n[n == BIG] = _flat(rows.column("big"), "<u4")
+        before = np.empty(len(n), np.uint64)
+        before[cold], before[~cold] = _flat(rows.column("far"), "<u8"), hot[_flat(rows.column("near"), "<u2")]
+        self.befores, before = np.unique(before, return_inverse=True)
+        keys, self.back = np.unique(np.repeat(word, _flat(rows.column("sizes"), "<u1")) * len(self.befores) + before, return_inverse=True)
+        self.n = np.bincount(self.back, n, len(keys)).astype(np.int64)
+        self.word, self.near = keys // len(self.befores), keys % len(self.befores)
+        self.hot, self.hot_before = _index(hot, self.words), _index(hot, self.befores)
+        self.total = np.bincount(self.word, self.n, len(self.words)).astype(np.int64)
+        self.key = self.word * FINE + (self.befores % np.uint64(FINE)).astype(np.int64)[self.near]
+
+    def leaves(self) -> tuple[Leaves, np.ndarray]:
+        """The restaurants at these pairs, and which pairs stand more than once in training texts."""
+        many = self.n > 1
+        key, at = np.unique(self.key[self.n > 0], return_inverse=True)
+        more = many[self.n > 0]
+        return Leaves(self.hot, key, np.bincount(at[~more], minlength=len(key)), at[more], self.near[many], self.n[many]), many
+
+
+def _home(ids: np.ndarray, homes: int) -> np.ndarray:
+    return (ids // np.uint64(FINE) % np.uint64(homes)).astype(np.int64)
+
+
+MESSAGE = "to long, bucket long, slot int, ask boolean, u binary, v binary"
+
+
+def _post(bucket: int, slot: int, ask: bool, ids: np.ndarray, values: np.ndarray, homes: int) -> pa.RecordBatch:
+    """Messages from a bucket to the homes of its words before, which are sorted by home."""
+    home = _home(ids, homes)
+    cuts = np.append(np.flatnonzero(np.diff(home, prepend=-1)), len(home))
+    n = len(cuts) - 1
+    columns = [pa.array(home[cuts[:-1]]), pa.array(np.full(n, bucket)), pa.array(np.full(n, slot, np.int32)), pa.array(np.full(n, ask)), _packed(ids.astype("<u8"), cuts), _packed(values.astype("<i4"), cuts)]
+    return pa.RecordBatch.from_arrays(columns, ["to", "bucket", "slot", "ask", "u", "v"])
+
+
+def _post_sums(sums: np.ndarray) -> pa.RecordBatch:
+    """Messages with a task's sums for the driver; their ids are places in the driver's vector."""
+    at = np.flatnonzero(sums)
+    at = at[np.argsort(at % SLICES, kind="stable")]
+    cuts = np.searchsorted(at % SLICES, np.arange(SLICES + 1))
+    columns = [pa.array(-1 - np.arange(SLICES)), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.bool_()), _packed(at.astype("<u8"), cuts), _packed(sums[at].astype("<i8"), cuts)]
+    return pa.RecordBatch.from_arrays(columns, ["to", "bucket", "slot", "ask", "u", "v"])
+
+
+def _exchange(scratch: Scratch, messages: DataFrame, slots: dict[int, tuple[int, int]]) -> DataFrame:
+    """Messages added up by word at its home, and the sums sent to the buckets that ask: rows (bucket, home, v), ``v`` for the
+    asked ids in their order. ``slots``: the first column of each slot's values, and how many. Sums for the driver come in
+    rows of negative buckets, with their ``u``."""
+    width = max(first + many for first, many in slots.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        names = ["bucket", "home", "u", "v"]
+        for to, rows in _groups(batches, "to"):
+            ids, back = np.unique(_flat(rows.column("u"), "<u8"), return_inverse=True)
+            if to < 0:
+                sums = np.bincount(back, _flat(rows.column("v"), "<i8"), len(ids)).astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([to]), pa.array([to]), pa.array([ids.tobytes()]), pa.array([sums.tobytes()])], names)
+                continue
+            lengths = pc.binary_length(rows.column("u")).to_numpy() // 8
+            slot = rows.column("slot").to_numpy()
+            sums = np.zeros((len(ids), width))
+            for k, (first, many) in slots.items():
+                mine = slot == k
+                if mine.any():
+                    values = _flat(rows.filter(pa.array(mine)).column("v"), "<i4").reshape(-1, many)
+                    for j in range(many):
+                        sums[:, first + j] += np.bincount(back[np.repeat(mine, lengths)], values[:, j], len(ids))
+            ask = rows.column("ask").to_numpy()
+            if ask.any():
+                cuts = np.concatenate([[0], np.cumsum(lengths[ask])])
+                answer = sums.astype("<i4")[back[np.repeat(ask, lengths)]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows.column("bucket").to_numpy()[ask]), pa.array(np.full(len(cuts) - 1, to)), pa.nulls(len(cuts) - 1, pa.binary()), _packed(answer, cuts)], names)
+
+    n = partitions(messages.sparkSession)
+    dealt = messages.repartition(n, "to").sortWithinPartitions("to", "bucket", "slot")
+    return scratch.keep(dealt.mapInArrow(run, "bucket long, home long, u binary, v binary"))
+
+
+def _with_answers(rows: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Each bucket's rows (``part`` 0) and after them the answers it got, in order of home."""
+    for part, answer in enumerate(answers, 1):
+        rows = rows.unionByName(answer.where("bucket >= 0").select("bucket", F.lit(part).alias("part"), F.col("home").alias("batch"), "v"), allowMissingColumns=True)
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "part", "batch")
+
+
+#: Places of the driver's vector: customers by fine class, tables (fine, coarse, root), words known; then hot words' own
+#: tables, and their customers by fine class.
+KNOWN = 2 * FINE + COARSE + 1
+
+
+def _add(sums: np.ndarray, leaves: Leaves, customers: np.ndarray, tables: np.ndarray, warm: int) -> None:
+    """Add a bucket's customers and tables of the classes' restaurants to the vector for the driver."""
+    fine = leaves.key % FINE
+    sums[:FINE] += np.bincount(fine[leaves.cold], customers[leaves.cold], FINE)
+    sums[FINE:KNOWN] += tables
+    hot = ~leaves.cold
+    np.add.at(sums[KNOWN + 1 + warm :], leaves.hot[leaves.key[hot] // FINE] * FINE + fine[hot], customers[hot])
+
+
+class Hot:
+    """The classes' restaurants at the hot words' dishes, sampled by the driver: at most 1 / HOT_SHARE words in FINE classes."""
+
+    def __init__(self, sums: np.ndarray):
+        """``sums``: each hot word's customers by fine class."""
+        self.parts = []
+        for k in range(0, len(sums), 256):
+            part = sums[k : k + 256].astype(np.int64)
+            key = np.flatnonzero(part)
+            self.parts.append(Counts(len(part), key, part.ravel()[key]))
+
+    def sample(self, state: State, known: int, number: int) -> list[dict[str, np.ndarray]]:
+        return [c.sample(state.tables, state.customers, known, np.random.default_rng([SEED, number, k, 1])) for k, c in enumerate(self.parts)]
+
+    def totals(self, got: list[dict[str, np.ndarray]]) -> np.ndarray:
+        return sum((c.totals(g) for c, g in zip(self.parts, got, strict=True)), np.zeros(FINE + COARSE + 1))
+
+    def warm(self, got: list[dict[str, np.ndarray]], customers: np.ndarray, tables: dict[str, np.ndarray], known: int) -> np.ndarray:
+        found = [c.predict(g, tables, customers, known, c.places(np.arange(c.words * FINE))).reshape(-1, FINE) for c, g in zip(self.parts, got, strict=True)]
+        return np.concatenate([np.zeros((0, FINE)), *found])
 
 
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,140 +566,195 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     training are one type, as in the base score. Every row is returned once. Without training texts all words are unseen.
     The same rows give the same scores whatever their partitions, but for the last digits of sums.
 
-    Restaurants are the classes of the word before: a bounded number, so their table totals are a small vector, while a
-    dish (word) with its seats in all restaurants sits in one bucket. A sweep is one pass over the buckets, given
-    the totals of the last; the same seeds give the same seats when texts are scored, so nothing but totals is kept.
-    Occurrences travel to their word's bucket packed, six bytes each; texts' partial sums travel back the same way.
+    Each distinct word before has a restaurant of its own; how many there are follows the corpus alone. A dish (word) with its seats
+    in all restaurants sits in one bucket, that of a hot word by pairs in all buckets. A sweep is one pass over the buckets,
+    given the tables of the last: those of the classes' restaurants and of hot words' own are a small vector, those of
+    all other words' own are added up at the word's home and sent to the buckets that ask for them. The same seeds give the same seats
+    when texts are scored, so nothing but totals is kept. Texts stay in batches of numbered tokens; a batch sends
+    its distinct pairs to their buckets and gets their log10 probabilities back, as floats of 4 bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    n = partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    total, hot = hot_words(scratch, source)
-    rows = scratch.keep(_occurrences(source, -(-total // BUCKET_TOKENS) or 1, kind, hot))
-    dealt = rows.where("bucket >= 0").select("bucket", "batch", "words", "sizes", "where", "contexts", "sums").repartition(n, "bucket").sortWithinPartitions("bucket", "batch")
+    tokens = scratch.keep(_token_table(source, kind))
+    total, trained, hot, hot_total = hot_words(scratch, tokens)
+    buckets = -(-total // BUCKET_TOKENS) or 1
+    homes, warm = -(-buckets // HOME_BUCKETS), len(hot)
+    shared_hot = spark.sparkContext.broadcast(hot)
+    messages = _messages(tokens, hot, buckets)
+    sizes = KNOWN + 1 + warm + warm * FINE
+
+    def ordered(ids: np.ndarray) -> np.ndarray:
+        """Places of ids, which are sorted, in order of home."""
+        return np.argsort(_home(ids, homes), kind="stable")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        for b, _, _, _, _, c, _ in _buckets(batches):
-            tables = np.concatenate([np.bincount(c.fine, minlength=FINE), np.bincount(c.pairs % COARSE, minlength=COARSE), [(c.total > 0).sum()]])
-            arrays = [pa.array([x.astype(np.int64).tobytes()]) for x in (np.bincount(c.fine, c.count, FINE), tables, c.word, c.fine, c.count)]
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([c.words]), *arrays], ["bucket", "words", "customers", "tables", "word", "fine", "count"])
-
-    counted = scratch.keep(dealt.mapInArrow(count, "bucket long, words long, customers binary, tables binary, word binary, fine binary, count binary"))
-    # Vectors of FINE + COARSE + 1 numbers, one for each bucket at most, added up as they arrive.
-    customers, tables = np.zeros(FINE), np.zeros(FINE + COARSE + 1)
-    for r in counted.select("customers", "tables").toLocalIterator():
-        customers += np.frombuffer(r[0], np.int64)
-        tables += np.frombuffer(r[1], np.int64)
-    known, trained = int(tables[-1]), int(customers.sum())
-
-    def sweep(number: int, flat: np.ndarray) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(FINE + COARSE + 1)
-            for batch in batches:
-                for b, words, word, fine, amount in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                    word, fine, amount = (np.frombuffer(x, np.int64) for x in (word, fine, amount))
-                    c = Counts(words, word * FINE + fine, amount)
-                    total += c.totals(c.sample(_split_totals(flat), customers, known, np.random.default_rng([SEED, number, b])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
-
-        found = counted.select("bucket", "words", "word", "fine", "count").mapInArrow(run, "k long, n double").groupBy("k").agg(F.sum("n")).collect()
-        out = np.zeros(FINE + COARSE + 1)
-        out[[r[0] for r in found]] = [r[1] for r in found]
+        hot, sums = shared_hot.value, np.zeros(sizes)
+
+        def sent(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.list_(pa.binary()))], [*batch.schema.names, "state"])
+
+        for b, rows in _groups(batches, "bucket"):
+            x = Bucket(rows, hot)
+            leaves, many = x.leaves()
+            upper = leaves.upper
+            _add(sums, leaves, leaves.least, np.concatenate([np.bincount(upper.fine, minlength=FINE), np.bincount(upper.pairs % COARSE, minlength=COARSE), [(upper.total > 0).sum()]]), warm)
+            sums[KNOWN] += (upper.total > 0).sum()
+            each = np.bincount(x.near, x.n, len(x.befores)), np.bincount(x.near[x.n > 0], minlength=len(x.befores))
+            own = x.hot_before >= 0
+            sums[KNOWN + 1 + x.hot_before[own]] += each[1][own]
+            cold = np.flatnonzero(~own)
+            cold = cold[ordered(x.befores[cold])]
+            yield sent(_post(b, 0, False, x.befores[cold], np.stack([k[cold] for k in each], 1), homes))
+            # Words before that are asked for in sweeps: those of pairs that can have more than one table; hot ones stand last.
+            asked = np.zeros(len(x.befores), bool)
+            asked[leaves.near] = True
+            cold = cold[asked[cold]]
+            place = np.empty(len(x.befores), np.int64)
+            place[cold] = np.arange(len(cold))
+            own = np.flatnonzero(asked & own)
+            place[own] = len(cold) + np.arange(len(own))
+            yield sent(_post(b, 1, True, x.befores[cold], np.zeros((len(cold), 1)), homes))
+            arrays = leaves.hot.astype("<i2"), leaves.key.astype("<i8"), leaves.once.astype("<u4"), leaves.at.astype("<u4"), place[leaves.near].astype("<u4"), leaves.count.astype("<i8"), x.befores[cold], x.hot_before[own].astype("<i2")
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([b]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([[k.tobytes() for k in arrays]], pa.list_(pa.binary()))], ["to", "bucket", "slot", "ask", "u", "v", "state"])
+        yield sent(_post_sums(sums))
+
+    dealt = messages.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "batch")
+    counted = scratch.keep(dealt.mapInArrow(count, f"{MESSAGE}, state array<binary>"))
+    names = ["to", "bucket", "slot", "ask", "u", "v"]
+    firsts = _exchange(scratch, counted.where("to is not null").select(names), {0: (0, 2), 1: (2, 1)})
+
+    def gathered(answers: DataFrame) -> np.ndarray:
+        out = np.zeros(sizes)
+        for r in answers.where("bucket < 0").select("u", "v").toLocalIterator():
+            out[np.frombuffer(r[0], "<u8").astype(np.int64)] = np.frombuffer(r[1], "<i8")
         return out
 
-    states = []
-    for number in range(BURN_IN + SAMPLES):
-        given, tables = tables, sweep(number, tables)
-        if number >= BURN_IN:
-            states.append((number, given, tables))
-    scratch.free(counted)
-
-    part = ["batch", "doc", "base", "model", "known", "hot", "table"]
+    flat = gathered(firsts)
+    known = int(flat[KNOWN]) + int((hot_total > 0).sum())
+    hot_first = flat[KNOWN + 1 : KNOWN + 1 + warm]
+    by_class = flat[KNOWN + 1 + warm :].reshape(warm, FINE)
+    there = by_class > 0
+    tables = flat[FINE:KNOWN] + np.concatenate([there.sum(0), there.reshape(warm, COARSE, FAN).any(2).sum(0), [there.any(1).sum()]])
+    state = State(flat[:FINE] + by_class.sum(0), _split_totals(tables), hot_first, np.repeat(np.maximum(hot_total, 1)[:, None] / max(trained, 1), FINE, 1))
+    sampler = counted.where("state is not null").select("bucket", F.lit(0).alias("part"), F.lit(None).cast("long").alias("batch"), "state")
 
-    def sums_by_text(texts: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-        held, back = np.unique((texts & ~HELD).astype(np.int64), return_inverse=True)
-        base, model, seen = (np.bincount(back, x, len(held)) for x in values)
-        return [pa.array([x.tobytes()]) for x in (held.astype("<u4"), base, model, seen.astype("<u4"))]
+    def sweep(number: int, state: State, answers: DataFrame | None) -> tuple[State, DataFrame, DataFrame]:
+        given = spark.sparkContext.broadcast(state)
 
-    hot_at = {w: k for k, w in enumerate(hot)}
-
-    def plain(seen: np.ndarray) -> np.ndarray:
-        return np.log10((seen + 0.5) / (trained + 0.5 * (known + 1)))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gc.disable()
+            state, sums = given.value, np.zeros(sizes)
+            for b, rows in _groups(batches, "bucket"):
+                part = rows.column("part").to_numpy()
+                arrays = rows.column("state")[0].as_py()
+                words, key, once, at, near, many, asked, own = (np.frombuffer(k, t) for k, t in zip(arrays, ("<i2", "<i8", "<u4", "<u4", "<u4", "<i8", "<u8", "<i2"), strict=True))
+                leaves = Leaves(words.astype(np.int64), key, once.astype(np.int64), at.astype(np.int64), near, many)
+                first, more = (_flat(rows.filter(pa.array(part == k)).column("v"), "<i4") for k in (1, 2))
+                seated = first.reshape(-1, 3)[:, 1] + (more if len(more) else 0)
+                found, customers, got = leaves.sample(np.concatenate([seated, state.seated[own]]), state, known, np.random.default_rng([SEED, number, b]))
+                _add(sums, leaves, customers, leaves.upper.totals(got), warm)
+                extra = np.bincount(near, found - 1, len(asked) + len(own))
+                sums[KNOWN + 1 + own.astype(np.int64)] += extra[len(asked) :]
+                yield _post(b, 2 + number, True, asked, extra[: len(asked), None], homes)
+            yield _post_sums(sums)
+
+        rows = _with_answers(sampler, firsts, *([answers] if answers is not None else []))
+        sent = scratch.keep(rows.mapInArrow(run, MESSAGE))
+        answers = _exchange(scratch, sent, {2 + number: (0, 1)})
+        given.destroy()
+        flat = gathered(answers)
+        by_class = flat[KNOWN + 1 + warm :].reshape(warm, FINE)
+        upper = Hot(by_class)
+        got = upper.sample(state, known, number)
+        customers, tables = flat[:FINE] + by_class.sum(0), _split_totals(flat[FINE:KNOWN] + upper.totals(got))
+        return State(customers, tables, hot_first + flat[KNOWN + 1 : KNOWN + 1 + warm], upper.warm(got, customers, tables, known)), sent, answers
+
+    answers, states, posts = None, [state], []
+    for number in range(BURN_IN + SAMPLES):
+        before = answers
+        state, sent, answers = sweep(number, states[-1], answers)
+        states.append(state)
+        posts.append(sent)
+        if before is not None:
+            scratch.free(before)
+    scratch.free(answers)
+    scratch.free(firsts)
+
+    # Sample k is drawn given the tables of the sweep before it, and predicts with its own.
+    numbers = range(BURN_IN, BURN_IN + SAMPLES)
+    columns = {k: 2 + k - max(BURN_IN - 1, 0) for k in range(max(BURN_IN - 1, 0), BURN_IN + SAMPLES)}
+    asked = counted.where("slot = 0").withColumn("ask", F.lit(True)).select(names)
+    for k in columns:
+        asked = asked.unionByName(posts[k].where("to >= 0").withColumn("ask", F.lit(False)).select(names))
+    lasts = _exchange(scratch, asked, {0: (0, 2), **{2 + k: (at, 1) for k, at in columns.items()}})
+    for frame in (counted, *posts):
+        scratch.free(frame)
+    width = 2 + len(columns)
+    shared = spark.sparkContext.broadcast(states[BURN_IN:])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        holds = 0
-
-        def leave() -> Iterator[pa.RecordBatch]:
-            for batch, some in waiting.items():
-                yield pa.RecordBatch.from_arrays([pa.array([batch]), *sums_by_text(*(np.concatenate(x) for x in zip(*some, strict=True))), pa.array([None], pa.int64()), pa.array([None], pa.binary())], part)
-            waiting.clear()
-
-        for b, batch_of, where, keys, back, c, words in _buckets(batches):
-            warm = [(hot_at[w], i) for i, w in enumerate(words.to_pylist()) if w in hot_at]
-            wanted = c.places(keys)
-            asked = c.places((np.array([i for _, i in warm], np.int64)[:, None] * FINE + np.arange(FINE)).ravel())
-            p, tables_ = np.zeros(len(keys)), np.zeros(len(asked[0]))
-            for number, given, own in states:
-                got = c.sample(_split_totals(given), customers, known, np.random.default_rng([SEED, number, b]))
-                p += c.predict(got, _split_totals(own), customers, known, wanted)
-                tables_ += c.predict(got, _split_totals(own), customers, known, asked)
-            seen = c.total[keys // FINE]
-            model, base, seen = (x[back] for x in (np.log10(p / len(states)), plain(seen), seen > 0))
-            for (k, i), row in zip(warm, np.log10(tables_ / len(states)).reshape(-1, FINE), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *(pa.array([None], pa.binary()) for _ in range(4)), pa.array([k]), pa.array([np.concatenate([[c.total[i]], row]).tobytes()])], part)
-            first = 0
-            for at, texts in enumerate(where):
-                mine = slice(first, first + len(texts))
-                first += len(texts)
-                waiting.setdefault(batch_of[at], []).append((texts, base[mine], model[mine], seen[mine]))
-            holds += len(back)
-            if holds > HELD_SUMS:
-                yield from leave()
-                holds = 0
-        yield from leave()
-
-    scored = scratch.keep(dealt.mapInArrow(score, "batch long, doc binary, base binary, model binary, known binary, hot long, table binary"))
-    tables_ = np.zeros((len(hot), FINE + 1))  # at most 1 / HOT_SHARE rows
-    for r in scored.where("hot is not null").select("hot", "table").toLocalIterator():
-        tables_[r[0]] = np.frombuffer(r[1])
-    shared = spark.sparkContext.broadcast(tables_)
-
-    def score_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = shared.value
-        base = plain(table_[:, 0])
-        for batch in batches:
-            for number, word, texts, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                word, texts, fine = np.frombuffer(word, "<u2"), np.frombuffer(texts, "<u4"), np.frombuffer(fine, "<u2")
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *sums_by_text(texts, base[word], table_[word, fine.astype(np.int64) + 1], table_[word, 0] > 0)], part[:5])
-
-    parts = scored.where("hot is null").select(*part[:5])
-    parts = parts.unionByName(rows.where("bucket < 0").select("batch", "sizes", "where", "contexts").mapInArrow(score_hot, "batch long, doc binary, base binary, model binary, known binary"))
-    texts = rows.where("bucket < 0").select("batch", "ids", F.col("held").alias("lengths"))
-    together = parts.withColumns({"ids": F.lit(None).cast(f"array<{kind}>"), "lengths": F.lit(None).cast("binary")}).unionByName(texts, allowMissingColumns=True)
+        hot, states = shared_hot.value, shared.value
+        for b, rows in _groups(batches, "bucket"):
+            part = rows.column("part").to_numpy()
+            answers = _flat(rows.filter(pa.array(part == 1)).column("v"), "<i4").reshape(-1, width)
+            rows = rows.filter(pa.array(part == 0))
+            x = Bucket(rows, hot)
+            leaves, many = x.leaves()
+            own = x.hot_before >= 0
+            cold = np.flatnonzero(~own)
+            cold = cold[ordered(x.befores[cold])]
+
+            def of_befores(answer: np.ndarray | int, hot_part: np.ndarray, cold: np.ndarray = cold, own: np.ndarray = own, x: Bucket = x) -> np.ndarray:
+                out = np.zeros(len(x.befores))
+                out[cold] = answer
+                out[own] = hot_part[x.hot_before[own]]
+                return out
+
+            def seated(k: int, state: State, answers: np.ndarray = answers) -> np.ndarray:
+                return of_befores(answers[:, 1] + (answers[:, columns[k]] if k >= 0 else 0), state.seated)  # noqa: B023
+
+            customers = of_befores(answers[:, 0], hot_total)
+            wanted, at = np.unique(x.key, return_inverse=True)
+            warm_ = x.hot[wanted // FINE]
+            places = leaves.upper.places(wanted[warm_ < 0])
+            p, p_class, tables = np.zeros(len(x.n)), np.zeros(len(wanted)), (x.n > 0).astype(np.int64)
+            for given, state, k in zip(states[:-1], states[1:], numbers, strict=True):
+                tables[many], _, got = leaves.sample(seated(k - 1, given), given, known, np.random.default_rng([SEED, k, b]))
+                p_class[warm_ < 0] = leaves.upper.predict(got, state.tables, state.customers, known, places)
+                p_class[warm_ >= 0] = state.warm[warm_[warm_ >= 0], wanted[warm_ >= 0] % FINE]
+                mass = STRENGTH["word"] + DISCOUNT["word"] * seated(k, state)
+                p += (x.n - DISCOUNT["word"] * tables + mass[x.near] * p_class[at]) / (STRENGTH["word"] + customers[x.near])
+            model = np.log10(p / SAMPLES).astype("<f4")[x.back]
+            per_word, per_pair = (np.concatenate([[0], np.cumsum(k)]) for k in (x.runs[:, 1], x.pairs))
+            yield pa.RecordBatch.from_arrays([rows.column("batch").combine_chunks(), pa.array(np.full(rows.num_rows, b)), _packed(x.total[x.cold_runs].astype("<i8"), per_word), _packed(model, per_pair)], ["batch", "bucket", "total", "model"])
+
+    scored = scratch.keep(_with_answers(messages.withColumn("part", F.lit(0)), lasts).mapInArrow(score, "batch long, bucket long, total binary, model binary"))
+    scratch.free(lasts)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "batch", 1):
-            column = group.column("batch").to_numpy()
-            for b in np.unique(column).tolist():
-                lo, hi = int(np.searchsorted(column, b)), int(np.searchsorted(column, b, "right"))
-                mine = group.slice(lo, hi - lo).to_pydict()
-                k = next(i for i, x in enumerate(mine["ids"]) if x is not None)
-                lengths = np.frombuffer(mine["lengths"][k], "<u4").astype(np.int64)
-                base, model, seen = np.zeros(len(lengths)), np.zeros(len(lengths)), np.zeros(len(lengths), np.int64)
-                for doc, x, y, z in zip(mine["doc"], mine["base"], mine["model"], mine["known"], strict=True):
-                    if doc is not None:
-                        at = np.frombuffer(doc, "<u4")
-                        base[at] += np.frombuffer(x)
-                        model[at] += np.frombuffer(y)
-                        seen[at] += np.frombuffer(z, "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(mine["ids"][k], group.schema.field("ids").type.value_type), pa.array(lengths), pa.array(seen), pa.array(base), pa.array(model)], ["id", "n_tokens", "n_known", "base_score", "score"])
-
-    done = together.repartition(n, "batch").sortWithinPartitions("batch", "doc").mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+        gc.disable()
+        hot = shared_hot.value
+        for _, rows in _groups(batches, "batch"):
+            own = rows.slice(0, 1).select(["ids", "lengths", "words", "tokens"]).to_pylist()[0]  # sorted first: its bucket is null
+            lengths = np.frombuffer(own["lengths"], "<u4").astype(np.int64)
+            ids = _read_tokens(own["tokens"])
+            pairs = Pairs(np.frombuffer(own["words"], "<u8"), ids, hot, buckets)
+            seen = np.zeros(len(pairs.words), np.int64)
+            seen[pairs.word[pairs.starts[~pairs.warm]]] = _flat(rows.column("total"), "<i8")
+            seen[pairs.hot >= 0] = hot_total[pairs.hot[pairs.hot >= 0]]
+            model = _flat(rows.column("model"), "<f4").astype(float)[pairs.of]
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            base = np.log10((seen + 0.5) / (trained + 0.5 * (known + 1)))[ids]
+            sums = (np.bincount(text, k, len(lengths)) for k in (base, model))
+            n_known = np.bincount(text, seen[ids] > 0, len(lengths)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own["ids"], rows.schema.field("ids").type.value_type), pa.array(lengths), pa.array(n_known), *(pa.array(k) for k in sums)], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+    together = tokens.select("batch", F.lit(None).cast("long").alias("bucket"), "ids", "lengths", "words", "tokens").unionByName(scored, allowMissingColumns=True)
+    done = together.repartition(partitions(spark), "batch").sortWithinPartitions("batch", "bucket").mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(trained).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

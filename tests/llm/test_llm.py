@@ -275,6 +275,44 @@ def test_lm_scores_do_not_follow_the_partitions(spark, monkeypatch):
         assert abs(r.perplexity - 10 ** (-sum(a for a, _ in mine) / sum(b for _, b in mine))) < 1e-6
 
 
+def test_lm_contexts_are_words(spark):
+    """Words of one class are contexts of their own: what follows one of them is not expected after another."""
+    a, b = "aaxyzw", "bbxyzw"
+    assert lm_score.context_class(a.encode()) == lm_score.context_class(b.encode())
+    rows = [(k, f"{a} left" if k % 2 else f"{b} right") for k in range(200)]
+    asked = [f"{a} left", f"{b} right", f"{a} right", f"{b} left"]
+    frame = spark.createDataFrame(rows + [(1000 + k, t) for k, t in enumerate(asked)], "doc_id long, text string")
+    got = {r.id: r.score for r in lm_score.lm_scores(frame, F.col("doc_id") >= 1000).where("id >= 1000").collect()}
+    assert min(got[1000], got[1001]) > max(got[1002], got[1003]) + 1
+
+
+def test_lm_dealing_changes_nothing(spark, monkeypatch):
+    """Many buckets, with hot words' pairs in all of them, score as one bucket does; some words stand after more than RUN
+    others, some pairs more than BIG times."""
+    rng = np.random.default_rng(5)
+    follow = rng.integers(0, 450, (450, 3))
+    texts = []
+    for _ in range(250):
+        word, text = int(rng.integers(450)), []
+        for _ in range(40):
+            text.append(word)
+            word = int(follow[word, rng.integers(3)]) if rng.random() < 0.6 else min(int(rng.zipf(1.4)), 449)
+        texts.append(" ".join(f"w{k}" for k in text))
+    pairs = Counter(p for t in texts for p in zip(t.split(), t.split()[1:], strict=False))
+    assert max(pairs.values()) > lm_score.BIG and max(Counter(b for _, b in pairs).values()) > lm_score.RUN
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    held, found = F.col("doc_id") % 5 == 1, []
+    for tokens in (1 << 19, 1500):
+        monkeypatch.setattr(lm_score, "BUCKET_TOKENS", tokens)
+        found.append({r.id: r for r in lm_score.lm_scores(frame, held).collect()})
+    one, many = found
+    assert one.keys() == many.keys() and len(one) == 250
+    assert all((one[k].n_tokens, one[k].n_known, round(one[k].base_score, 8)) == (many[k].n_tokens, many[k].n_known, round(many[k].base_score, 8)) for k in one)
+    sums = [sum(x[k].score for k in x if k % 5 == 1) for x in found]
+    assert abs(sums[0] / sums[1] - 1) < 0.01
+    assert np.corrcoef([one[k].score for k in one], [many[k].score for k in one])[0, 1] > 0.99
+
+
 # 4
 
 
