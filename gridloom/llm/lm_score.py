@@ -44,6 +44,8 @@ RUN, BIG = 255, 127
 EXACT, LARGEST, MOST_TABLES = 64, 1 << 14, 1024
 #: Buckets whose words' restaurants are added up together, and parts in which sums for the driver are added up.
 HOME_BUCKETS, SLICES = 8, 64
+#: Passes in which texts are scored, each over its share of the buckets, so that not all pairs are on disk at once with their answers.
+PASSES = 2
 
 
 def context_class(word: bytes) -> int:
@@ -732,7 +734,11 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             per_word, per_pair = (np.concatenate([[0], np.cumsum(k)]) for k in (x.runs[:, 1], x.pairs))
             yield pa.RecordBatch.from_arrays([rows.column("batch").combine_chunks(), pa.array(np.full(rows.num_rows, b)), _packed(x.total[x.cold_runs].astype("<i8"), per_word), _packed(model, per_pair)], ["batch", "bucket", "total", "model"])
 
-    scored = scratch.keep(_with_answers(messages.withColumn("part", F.lit(0)), lasts).mapInArrow(score, "batch long, bucket long, total binary, model binary"))
+    passes = min(PASSES, buckets)
+    for k in range(passes):
+        mine = F.col("bucket") % passes == k
+        some = scratch.keep(_with_answers(messages.where(mine).withColumn("part", F.lit(0)), lasts.where(mine)).mapInArrow(score, "batch long, bucket long, total binary, model binary"))
+        scored = scored.unionByName(some) if k else some
     scratch.free(lasts)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
