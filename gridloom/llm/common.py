@@ -49,6 +49,10 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: held by the JVM, with room to grow, and by the worker.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
+#: Whether a write leaves an empty file when it is done. In local file systems the driver starts a command for that, which
+#: for an instant counts with the driver's own memory; nothing here asks for the file.
+MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+
 
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor only repeats the step after the last table."""
@@ -78,7 +82,7 @@ class Scratch:
             schema = frame.schema
             n = partitions(self.spark)
             frame = frame.coalesce(max(min(n, LEAST_WRITERS), n // narrow)) if narrow > 1 else frame
-            frame.write.option("compression", "zstd").parquet(path)
+            frame.write.option("compression", "zstd").option(MARK, "false").parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before[0])
             self.spark.conf.set(BATCH, before[1])
