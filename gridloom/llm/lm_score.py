@@ -200,12 +200,27 @@ def tokenise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.insert(found.indices.to_numpy().astype(np.int64), np.cumsum(lengths), len(words) - 1), lengths + 1, words
 
 
+#: What CRC-32 adds for each byte; crc32 of a byte b takes the entry at b ^ 255.
+_CRC = np.array([~zlib.crc32(bytes([k ^ 255])) & 0xFFFFFFFF ^ 0x00FFFFFF for k in range(256)], np.uint32)
+
+
+def _crc_of_ends(text: np.ndarray, stops: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """zlib.crc32 of the last ``most`` bytes, or all, of words that end before ``stops`` in ``text``."""
+    crc = np.full(len(stops), 0xFFFFFFFF, np.uint32)
+    for back in range(most, 0, -1):
+        there = sizes >= back
+        byte = text[np.where(there, stops - back, 0)]
+        crc = np.where(there, _CRC[(crc ^ byte) & np.uint32(255)] ^ (crc >> np.uint32(8)), crc)
+    return ~crc
+
+
 def word_ids(words: list[bytes]) -> np.ndarray:
     """Numbers by which words are told apart: 54 bits of a hash over the word's class, which follows from its last four bytes."""
     found = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    ends = [w[-4:] for w in words]
-    classes = {e: context_class(e) for e in set(ends)}
-    return found - found % np.uint64(FINE) + np.fromiter(map(classes.__getitem__, ends), np.uint64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    text, stops = np.frombuffer(b"".join(words) + b"\0", np.uint8), np.cumsum(sizes)
+    coarse, fine = _crc_of_ends(text, stops, sizes, 2), _crc_of_ends(text, stops, sizes, 4)
+    return found - found % np.uint64(FINE) + coarse % np.uint32(COARSE) * np.uint64(FAN) + (fine >> np.uint32(8)) % np.uint32(FAN)
 
 
 def _index(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -312,23 +327,47 @@ def hot_words(scratch: Scratch, tokens: DataFrame) -> tuple[int, int, np.ndarray
     return total, trained, hot[order], learnt[order]
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with its inverse, of numbers from 0; faster where a number and its place fit 63 bits, as one sort does both."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = keys << bits | np.arange(len(keys))
+    both.sort()
+    ordered = both >> bits
+    new = np.diff(ordered, prepend=-1) != 0
+    back = np.empty(len(keys), np.int64)
+    back[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return ordered[new], back
+
+
 class Pairs:
     """Distinct pairs (word, word before) of a batch in order of their bucket, the word (hot ones first), and the word before;
-    ``of`` is each token's pair. A pair's bucket is that of its word, but the pairs of a hot word are dealt over all buckets."""
+    ``of`` is each token's pair. A pair's bucket is that of its word, but the pairs of a hot word are dealt over all buckets.
+    With ``share`` (k, n) only pairs in buckets that leave k when divided by n; ``of`` is then that of the tokens ``mine``."""
 
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, hot: np.ndarray, buckets: int):
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, hot: np.ndarray, buckets: int, share: tuple[int, int] = (0, 1)):
         self.words, self.hot = words, _index(hot, words)
         end = np.flatnonzero(words == word_ids([END])[0])[:1]  # the word before a first word is the last text's END
-        keys, back = np.unique(tokens * len(words) + np.concatenate([end, tokens[:-1]]), return_inverse=True)
+        before = np.concatenate([end, tokens[:-1]])
+        mixed, warm_words = words // np.uint64(FINE), self.hot >= 0
+        dealt = (mixed % np.uint64(buckets)).astype(np.int64)
+
+        def bucket_of(word: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, warm = dealt[word], warm_words[word]
+            spread = (mixed[word[warm]] * np.uint64(0x9E3779B97F4A7C15)) ^ mixed[near[warm]]
+            spread *= np.uint64(0xD6E8FEB86659FD93)
+            found[warm] = ((spread ^ (spread >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+            return found, warm
+
+        self.mine = np.ones(len(tokens), bool)
+        if share[1] > 1:
+            self.mine = bucket_of(tokens, before)[0] % share[1] == share[0]
+            tokens, before = tokens[self.mine], before[self.mine]
+        keys, back = _distinct(tokens * len(words) + before)
         word, near = keys // len(words), keys % len(words)
-        mixed = words // np.uint64(FINE)
-        deal = mixed[word]
-        warm = self.hot[word] >= 0
-        spread = (deal[warm] * np.uint64(0x9E3779B97F4A7C15)) ^ mixed[near[warm]]
-        spread *= np.uint64(0xD6E8FEB86659FD93)
-        deal[warm] = spread ^ (spread >> np.uint64(32))
-        bucket = (deal % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(2 * bucket + ~warm, kind="stable")
+        bucket, warm = bucket_of(word, near)
+        order = np.argsort((2 * bucket + ~warm).astype(np.uint16 if buckets <= 1 << 15 else np.int64), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.of, self.word, self.near, self.bucket = rank[back], word[order], near[order], bucket[order]
@@ -343,8 +382,8 @@ def _read_tokens(column: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(column, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _messages(tokens: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """A row for each batch and bucket: its runs' words (``warm``: hot ones, as places among the hot words; after them ``words``),
+def _messages(tokens: DataFrame, hot: np.ndarray, buckets: int, share: tuple[int, int] = (0, 1)) -> DataFrame:
+    """A row for each batch and bucket (of the ``share``, as for Pairs): its runs' words (``warm``: hot ones, as places among the hot words; after them ``words``),
     how many pairs each has, the words before (``near``: hot ones, ``far``), and a byte ``n`` a pair: twice how often it stands in training
     texts (beyond BIG in ``big``), and one more if the word before is not hot."""
     shared = tokens.sparkSession.sparkContext.broadcast(hot)
@@ -354,8 +393,8 @@ def _messages(tokens: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         hot = shared.value
         for batch in batches:
             for number, lengths, held, words, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = Pairs(np.frombuffer(words, "<u8"), _read_tokens(ids), hot, buckets)
-                learnt = np.repeat(np.frombuffer(held, np.uint8) == 0, np.frombuffer(lengths, "<u4"))
+                p = Pairs(np.frombuffer(words, "<u8"), _read_tokens(ids), hot, buckets, share)
+                learnt = np.repeat(np.frombuffer(held, np.uint8) == 0, np.frombuffer(lengths, "<u4"))[p.mine]
                 n = np.bincount(p.of[learnt], minlength=len(p.word))
                 cold, big = p.hot[p.near] < 0, n >= BIG
 
@@ -737,7 +776,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     passes = min(PASSES, buckets)
     for k in range(passes):
         mine = F.col("bucket") % passes == k
-        some = scratch.keep(_with_answers(messages.where(mine).withColumn("part", F.lit(0)), lasts.where(mine)).mapInArrow(score, "batch long, bucket long, total binary, model binary"))
+        some = scratch.keep(_with_answers(_messages(tokens, hot, buckets, (k, passes)).withColumn("part", F.lit(0)), lasts.where(mine)).mapInArrow(score, "batch long, bucket long, total binary, model binary"))
         scored = scored.unionByName(some) if k else some
     scratch.free(lasts)
 

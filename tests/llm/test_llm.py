@@ -286,6 +286,23 @@ def test_lm_contexts_are_words(spark):
     assert min(got[1000], got[1001]) > max(got[1002], got[1003]) + 1
 
 
+def test_lm_shares_of_pairs():
+    """A scoring pass makes the pairs of its own buckets only, the same as are made for all; a pass may have none."""
+    rng = np.random.default_rng(4)
+    words = np.unique(lm_score.word_ids([f"w{k}".encode() for k in range(300)] + [b"", b"a", b"ab"]))
+    tokens, hot = rng.zipf(1.3, 5000) % len(words), np.sort(words[:4])
+    every = lm_score.Pairs(words, tokens, hot, 7)
+    assert (every.word[every.of] == tokens).all()
+    for k in range(8):
+        some, mine = lm_score.Pairs(words, tokens, hot, 7, (k, 8)), every.bucket % 8 == k
+        assert all((getattr(some, name) == getattr(every, name)[mine]).all() for name in ("word", "near", "bucket"))
+        assert (some.word[some.of] == tokens[some.mine]).all() and (len(some.word) == 0) == (k == 7)
+    for keys in (rng.integers(0, 50, 400), rng.integers(2**61, 2**62, 400), np.zeros(0, np.int64)):
+        assert all((a == b).all() for a, b in zip(lm_score._distinct(keys), np.unique(keys, return_inverse=True), strict=True))
+    for word in (b"", b"a", b"ab", b"abc", b"abcd", "naïve".encode()):
+        assert int(lm_score.word_ids([word])[0]) % lm_score.FINE == lm_score.context_class(word)
+
+
 def test_lm_dealing_changes_nothing(spark, monkeypatch):
     """Many buckets, with hot words' pairs in all of them, score as one bucket does; some words stand after more than RUN
     others, some pairs more than BIG times."""
